@@ -7,10 +7,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import fmindex, packing, simhash
+from terrace.llm import fmindex, language, packing, pii, simhash
 from terrace.llm.common import materialise, table
 
 
+#: A document stays if its language is known at least this surely.
+SURE = 0.5
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no letter, or is of no learned language, go."""
+    found = language.predict(docs, language.fit(language.training_part(docs)), docs.columns)
+    return found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= SURE)).select(docs.columns)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of SimHash links stays."""
     return simhash.first_of_each(docs)
@@ -21,12 +31,23 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return fmindex.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data give way to their kind."""
+    return pii.redact(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences."""
     return packing.pack(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", pack)]
+STAGES = [
+    ("language", languages),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("personal_data", personal_data),
+    ("packing", pack),
+]
 
 #: Token ids, XXH64 and the learned model are beyond SQL: tests hold run() against plain Python.
 ORACLE_SQL = None
