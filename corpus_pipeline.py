@@ -11,8 +11,8 @@ from terrace.llm import fmindex, language, packing, pii, simhash
 from terrace.llm.common import materialise, table
 
 
-#: A document stays if its language is known at least this surely.
-SURE = 0.5
+#: A document stays if its language is at least this likely: of a few letters none can be sure, and they are no fault.
+SURE = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

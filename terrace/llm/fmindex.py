@@ -2,13 +2,12 @@
 
 Documents are gathered into shards of at most SHARD_WORDS words (a longer document is a shard of its
 own).  A shard's words are numbered; its text is the documents' words, each document closed by a
-separator of its own, so no match crosses documents.  Only words that some phrase has can lie in a
-match: any other word is a separator too, and runs between separators that are shorter than the
-shortest phrase are left out, which loses no match.  Over that text the shard gets an FM-index: the
-suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix whose bit vectors
-have rank directories, and suffix positions sampled every SAMPLE words and after every separator.
-All phrases are searched backwards at once; the rows that are left walk by the last-to-first mapping
-to a sampled position; overlapping occurrences merge into removal spans.
+separator of its own, so no match crosses documents.  Over the whole text the shard gets an FM-index:
+the suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix whose bit
+vectors have rank directories, and suffix positions sampled every SAMPLE words and after every
+separator.  All phrases whose words the shard has are searched backwards at once; the rows that are
+left walk by the last-to-first mapping to a sampled position; overlapping occurrences merge into
+removal spans.
 
 Defined results: a null or empty text has no words and no hit; an item without words has no window; a
 shorter item than a window is one window; repeated items each count; an empty benchmark hits nothing;
@@ -170,9 +169,7 @@ class FMIndex:
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix range of each row of phrases, whose words end the row and 0 fills it from the left."""
         low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        live = np.flatnonzero(((phrases < len(self.start)) | (phrases == 0)).all(axis=1))
-        dead = np.ones(len(phrases), bool)
-        dead[live] = False
+        live = np.arange(len(phrases))
         for column in range(phrases.shape[1] - 1, -1, -1):
             live = live[phrases[live, column] != 0]
             if not len(live):
@@ -181,7 +178,6 @@ class FMIndex:
             ends = self.bwt.rank(np.tile(word, 2), np.concatenate([low[live], high[live]]), self.start)
             low[live], high[live] = self.first[word] + ends[: len(live)], self.first[word] + ends[len(live) :]
             live = live[low[live] < high[live]]
-        high[dead] = low[dead]
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -204,40 +200,41 @@ class Block:
 
     def __init__(self, items: list[tuple], window: int):
         self.ids = [x[0] for x in items]
-        self.numbers, phrases, self.items = phrases_of(items, window)
+        numbers, phrases, self.items = phrases_of(items, window)
+        self.words = list(numbers)
         self.sizes = np.array([len(p) for p in phrases], np.int64)
         self.phrases = np.zeros((len(phrases), window), np.int64)
         for i, p in enumerate(phrases):
             self.phrases[i, window - len(p) :] = p
-        self.shortest = int(self.sizes.min()) if len(phrases) else 0
 
-    def occurrences(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all phrases in a shard: (place in the shard's words, length, phrase); docs lie behind one another."""
-        none = np.zeros(0, np.int64)
-        if not len(self.phrases):
-            return none, none, none
+
+class _Numbers(dict):
+    """word -> number from 1, in order of appearance."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
+class Shard:
+    """The FM-index over the words of documents, each followed by a separator."""
+
+    def __init__(self, docs: list[list[bytes]]):
+        self.numbers = _Numbers()
+        number, end = self.numbers.__getitem__, np.zeros(1, np.int64)
+        parts = [x for words in docs for x in (np.fromiter(map(number, words), np.int64, len(words)), end)]
+        self.index = FMIndex(np.concatenate(parts))
+
+    def occurrences(self, block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all the block's phrases: (place among words and separators, length, phrase)."""
         get = self.numbers.get
-        parts = []
-        for words in docs:
-            parts.append(np.fromiter(map(get, words, [0] * len(words)), np.int64, len(words)))
-            parts.append(np.zeros(1, np.int64))
-        text = np.concatenate(parts) if parts else none
-        # runs of words, without those that are too short for any phrase
-        gap = np.flatnonzero(np.concatenate([[True], text == 0]))  # places before which a run begins
-        length = np.diff(np.append(gap, len(text) + 1)) - 1
-        keep = np.flatnonzero(length >= self.shortest)
-        if not len(keep):
-            return none, none, none
-        size = length[keep] + 1
-        begins = np.cumsum(size) - size
-        place = np.repeat(gap[keep] - begins, size) + np.arange(int(size.sum()))
-        kept = np.append(text, 0)[place]
-        index = FMIndex(kept)
-        low, high = index.search(self.phrases)
+        own = np.array([0, *(get(w, -1) for w in block.words)], np.int64)[block.phrases]
+        there = np.flatnonzero((own >= 0).all(axis=1))
+        low, high = self.index.search(own[there])
         count = high - low
-        phrase = np.repeat(np.arange(len(count)), count)
+        phrase = np.repeat(there, count)
         rows = np.arange(len(phrase)) - np.repeat(np.cumsum(count) - count - low, count)
-        return place[index.locate(rows)], self.sizes[phrase], phrase
+        return self.index.locate(rows), block.sizes[phrase], phrase
 
 
 def scan(texts: list[str | None], blocks: list[Block]) -> list[tuple[int, list[tuple[int, int]], list]]:
@@ -247,8 +244,9 @@ def scan(texts: list[str | None], blocks: list[Block]) -> list[tuple[int, list[t
     begin = np.cumsum(sizes) - sizes
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     items: list[list] = [[] for _ in docs]
-    for block in blocks:
-        place, length, phrase = block.occurrences(docs)
+    shard = Shard(docs) if any(docs) and any(b.words for b in blocks) else None
+    for block in blocks if shard else ():
+        place, length, phrase = shard.occurrences(block)
         doc = np.searchsorted(begin, place, "right") - 1
         for d, p in {(int(d), int(p)) for d, p in zip(doc, phrase, strict=True)}:
             items[d].append((block, p))
