@@ -1,33 +1,9 @@
-"""The library's queries, each with the DuckDB SQL that gives the same rows."""
+"""All queries of the library, each with the DuckDB SQL that gives the same rows where there is one."""
 
-from __future__ import annotations
+from terrace.queries import aggregates, joins, reshape, scalars, streams, windows
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+_MODULES = (aggregates, joins, windows, reshape, scalars, streams)
 
 FLAGSHIP = "pricing_summary"
-
-
-def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One scan, partial aggregates, a shuffle of a few groups."""
-    line = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_shipdate <= timestamp_ntz '2001-09-02 00:00:00'")
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return line.groupBy("l_returnflag", "l_linestatus").agg(
-        F.sum("l_quantity").alias("sum_qty"),
-        F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-        F.round(F.sum(price), 2).alias("sum_disc_price"),
-        F.round(F.sum(price * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
-        F.round(F.avg("l_quantity"), 6).alias("avg_qty"),
-        F.count("*").alias("count_order"),
-    )
-
-
-QUERIES = {"pricing_summary": pricing_summary}
-ORACLES = {
-    "pricing_summary": """
-SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base_price,
-       round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-       round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-       round(avg(l_quantity), 6) AS avg_qty, count(*) AS count_order
-FROM lineitem WHERE l_shipdate <= TIMESTAMP '2001-09-02' GROUP BY ALL"""
-}
+QUERIES = {name: f for m in _MODULES for name, f in m.BOOK.queries.items()}
+ORACLES = {name: q for m in _MODULES for name, q in m.BOOK.oracles.items()}
