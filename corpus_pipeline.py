@@ -17,8 +17,8 @@ SURE = 0.3
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has no letter, or is of no learned language, go."""
-    found = language.predict(docs, language.fit(language.training_part(docs)), docs.columns)
-    return found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= SURE)).select(docs.columns)
+    found = language.predict(docs, language.fit(language.training_part(docs)), docs.columns, ("__lang", "__sure"))
+    return found.where((found["__lang"] != language.UNKNOWN) & (found["__sure"] >= SURE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ DIMENSIONS = 1 << 15
 #: Bounds of the labelled sample: documents a language, and in all.
 PER_LANGUAGE, TRAINING = 800, 8000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.5
+ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.5
 UNKNOWN = "und"
 
 
@@ -172,11 +172,11 @@ def training_part(docs: DataFrame) -> DataFrame:
     return docs.where((fold != HELD_OUT) & (fold >= 0)).select("doc_id", "text", "lang")
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
-    """docs' columns with lang_pred and score; of a row only its text is looked at."""
+def predict(docs: DataFrame, model: Model, columns: list[str], put: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs' columns with the predicted language and its score, named by put; of a row only its text is looked at."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    names = [*columns, "lang_pred", "score"]
+    names = [*columns, *put]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=names)
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{kinds}, `{put[0]}` string, `{put[1]}` double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
