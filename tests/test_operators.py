@@ -103,3 +103,39 @@ def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("bucket_a", "bucket_b"):
             spark.sql(f"DROP TABLE {name}")
+
+
+def test_upsert(spark):
+    from terrace.operators.tables import upsert
+
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (4, None)], "k int, v string")
+    changes = spark.createDataFrame([(1, "x", False, 1), (1, "y", False, 2), (2, "z", True, 5), (3, "new", False, 1), (None, "m", False, 1), (9, "never", True, 1)], "k int, v string, gone boolean, at int")
+    assert sorted(upsert(target, changes, ["k"], ["at"], "gone").collect(), key=repr) == sorted([(1, "y"), (3, "new"), (None, "m"), (4, None)], key=repr)
+    assert sorted(upsert(target, changes.limit(0), ["k"], ["at"], "gone").collect(), key=repr) == sorted(target.collect(), key=repr)
+    assert upsert(target.limit(0), changes, ["k"], ["at"]).count() == 5
+
+
+def test_row_index(spark):
+    from terrace.operators.tables import with_row_index
+
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate([5.0, None, 1.0, 1.0, 1.0, 9.0, -2.0, None])], "x double, i int").repartition(3)
+    found = sorted(with_row_index(rows, ["x", "i"], "n", 4).collect(), key=lambda r: r["n"])
+    assert [r["n"] for r in found] == list(range(8))
+    assert [r["i"] for r in found] == [1, 7, 6, 2, 3, 4, 0, 5]
+    assert with_row_index(rows.limit(0), ["x", "i"], "n").collect() == []
+
+
+def test_hash_sample_is_the_same_every_time(spark):
+    from terrace.operators.tables import hash_sample
+
+    rows = spark.range(10_000)
+    a = {r[0] for r in hash_sample(rows, ["id"], 0.2).collect()}
+    assert a == {r[0] for r in hash_sample(rows.repartition(7), ["id"], 0.2).collect()}
+    assert 1700 < len(a) < 2300
+
+
+def test_map_batches(spark):
+    from terrace.functions.user import map_batches
+
+    rows = spark.createDataFrame([(3, "c"), (1, "a"), (2, None)], "n int, s string").coalesce(1)
+    assert sorted(map_batches(rows, "n", "r").collect()) == [(1, "a", 1), (2, None, 2), (3, "c", 3)]
