@@ -293,28 +293,32 @@ def shards(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterato
 
 
 def load_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
-    """The benchmark's items as broadcast blocks of bounded size; they pass through the driver one block at a time."""
+    """The benchmark's items as (digest, broadcast) blocks of bounded size; they pass through the driver block by block."""
     spark = benchmark.sparkSession
-    out, block, size = [], [], 0
+    sent, block, size = [], [], 0
+
+    def send() -> None:
+        packed = pickle.dumps(block)
+        sent.append((hashlib.sha1(packed).hexdigest(), spark.sparkContext.broadcast(packed)))
+
     for item, text in benchmark.select(F.col("item_id"), F.col("text").cast("string")).toLocalIterator():
         block.append((item, text))
         size += len(text or "") // 6 + 1
         if size >= BLOCK_WORDS:
-            out.append(spark.sparkContext.broadcast(pickle.dumps(block)))
+            send()
             block, size = [], 0
-    if block or not out:
-        out.append(spark.sparkContext.broadcast(pickle.dumps(block)))
-    return out
+    if block:
+        send()
+    return sent
 
 
 def scanner(sent: list, window: int):
-    """The worker's blocks, made once for each broadcast."""
+    """The worker's blocks, made once for each content."""
 
-    def blocks() -> Iterator[Block]:
-        for b in sent:
-            yield worker_cache(f"block:{b._id if hasattr(b, '_id') else id(b)}:{window}:{hashlib.sha1(b.value).hexdigest()}", lambda b=b: Block(pickle.loads(b.value), window))
+    def block(name: str, content) -> Block:
+        return worker_cache(f"block:{window}:{name}", lambda: Block(pickle.loads(content.value), window))
 
-    return lambda: list(blocks())
+    return lambda: [block(*x) for x in sent]
 
 
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, n_items long, spans array<struct<start:long,end:long>>"
@@ -373,5 +377,21 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 QUERIES = {"op9_decontamination": op9_decontamination}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op9_decontamination": f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+b AS (SELECT row_number() OVER () AS place, item_id, {_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT place, item_id, least(len(w), {WINDOW}) AS n, array_to_string(w[i : i + {WINDOW} - 1], ' ') AS g
+        FROM b, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 2))) r(i) WHERE len(w) > 0),
+pos AS (SELECT k, i, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM t, (SELECT DISTINCT n FROM win) s, unnest(range(1, len(w) - n + 2)) r(i)),
+hit AS (SELECT k, i, n, place, item_id FROM pos JOIN win USING (n, g)),
+words AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM hit) GROUP BY k),
+items AS (SELECT k, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT k, place, item_id FROM hit) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM t LEFT JOIN words USING (k) LEFT JOIN items USING (k)"""
+}
