@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import sys
 import tempfile
 import types
@@ -25,7 +26,7 @@ def scratch_root(spark: SparkSession) -> str:
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     root = f"file://{tempfile.mkdtemp(prefix='terrace-')}"
     spark.conf.set("spark.checkpoint.dir", root)

@@ -1,7 +1,7 @@
 """Benchmark decontamination with FM-indexes (operator 9).
 
-Documents are gathered into shards of at most SHARD_WORDS words (a longer document is a shard of its
-own).  A shard's words are numbered; its text is the documents' words, each document closed by a
+Documents are gathered into shards of about SHARD_WORDS words (a longer document is cut, with the
+cuts overlapping by a window less a word).  A shard's words are numbered; its text is the documents' words, each document closed by a
 separator of its own, so no match crosses documents.  Over the whole text the shard gets an FM-index:
 the suffix array by prefix doubling, the Burrows-Wheeler transform in a wavelet matrix whose bit
 vectors have rank directories, and suffix positions sampled every SAMPLE words and after every
@@ -237,23 +237,44 @@ class Shard:
         return self.index.locate(rows), block.sizes[phrase], phrase
 
 
-def scan(texts: list[str | None], blocks: list[Block]) -> list[tuple[int, list[tuple[int, int]], list]]:
-    """Of a shard's texts: number of words, merged spans of words, and the items found."""
+def parts_of(docs: list[list[bytes]], size: int, overlap: int) -> Iterator[list[tuple[int, int, list[bytes]]]]:
+    """Shards of (document, place of its first word, words) with about size words; long documents are cut.
+
+    Neighbouring cuts share overlap words, so any phrase of at most one word more lies within one cut.
+    """
+    shard, total = [], 0
+    for d, words in enumerate(docs):
+        for a in range(0, max(1, len(words) - overlap), size):
+            part = words[a : a + size + overlap]
+            if shard and total + len(part) > size + overlap:
+                yield shard
+                shard, total = [], 0
+            shard.append((d, a, part))
+            total += len(part) + 1
+    if shard:
+        yield shard
+
+
+def scan(texts: list[str | None], blocks: list[Block], size: int) -> list[tuple[int, list[tuple[int, int]], list]]:
+    """Of texts: number of words, merged spans of words, and the items found."""
     docs = [words_of(t) for t in texts]
-    sizes = np.array([len(d) + 1 for d in docs], np.int64)
-    begin = np.cumsum(sizes) - sizes
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
-    items: list[list] = [[] for _ in docs]
-    shard = Shard(docs) if any(docs) and any(b.words for b in blocks) else None
-    for block in blocks if shard else ():
-        place, length, phrase = shard.occurrences(block)
-        doc = np.searchsorted(begin, place, "right") - 1
-        for d, p in {(int(d), int(p)) for d, p in zip(doc, phrase, strict=True)}:
-            items[d].append((block, p))
-        order = np.lexsort((place + length, place))
-        for d, a, n in zip(doc[order].tolist(), place[order].tolist(), length[order].tolist(), strict=True):
-            a -= int(begin[d])
-            spans[d].append((a, a + n))
+    items: list[set] = [set() for _ in docs]
+    searched = [b for b in blocks if b.words]
+    for parts in parts_of(docs, size, max(b.phrases.shape[1] for b in searched) - 1) if searched else ():
+        if not any(words for _, _, words in parts):
+            continue
+        sizes = np.array([len(words) + 1 for _, _, words in parts], np.int64)
+        begin = np.cumsum(sizes) - sizes
+        shard = Shard([words for _, _, words in parts])
+        for k, block in enumerate(searched):
+            place, length, phrase = shard.occurrences(block)
+            part = np.searchsorted(begin, place, "right") - 1
+            first = place - begin[part]
+            for i, a, n, p in zip(part.tolist(), first.tolist(), length.tolist(), phrase.tolist(), strict=True):
+                d, at, _ = parts[i]
+                spans[d].append((at + a, at + a + n))
+                items[d].add((k, p))
     out = []
     for words, own, found in zip(docs, spans, items, strict=True):
         merged: list[list[int]] = []
@@ -262,9 +283,8 @@ def scan(texts: list[str | None], blocks: list[Block]) -> list[tuple[int, list[t
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        ids = {(id(block), place) for block, p in found for place in block.items[p]}
-        by = {id(block): block for block, _ in found}
-        out.append((len(words), [tuple(x) for x in merged], [by[b].ids[place] for b, place in ids]))
+        ids = {(k, place) for k, p in found for place in searched[k].items[p]}
+        out.append((len(words), [tuple(x) for x in merged], [searched[k].ids[place] for k, place in ids]))
     return out
 
 
@@ -331,7 +351,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, 1, SHARD_WORDS):
-            found = scan(batch.column(1).to_pylist(), blocks())
+            found = scan(batch.column(1).to_pylist(), blocks(), SHARD_WORDS)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -357,7 +377,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shards(batches, at, SHARD_WORDS):
             texts = batch.column(at).to_pylist()
-            found = scan(texts, blocks())
+            found = scan(texts, blocks(), SHARD_WORDS)
             gone = [bool(s) and sum(b - a for a, b in s) == n for n, s, _ in found]
             texts = [without(t, s) if s else t for t, (_, s, _) in zip(texts, found, strict=True)]
             columns = list(batch.columns)

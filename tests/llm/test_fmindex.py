@@ -40,7 +40,7 @@ def query(spark, monkeypatch, docs, benchmark):
     return sorted((tuple(r) for r in fmindex.op9_decontamination(spark, "").collect()), key=repr)
 
 
-@pytest.mark.parametrize("size", [fmindex.SHARD_WORDS, 100])
+@pytest.mark.parametrize("size", [fmindex.SHARD_WORDS, 100, 12])
 def test_equals_windows(spark, docs, sf_dir, monkeypatch, size):
     monkeypatch.setattr(fmindex, "SHARD_WORDS", size)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
