@@ -33,10 +33,12 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 OWN = {
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
-    "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "local_phone": r"(?<![0-9+(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
+    "iban": r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,4})?)",
+    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "local_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
+#: kind -> characters that may not stand right before or behind a match.
+APART = {"iban": ("[A-Za-z0-9]", "[A-Za-z0-9]"), "ssn": ("[0-9-]", "[0-9-]"), "local_phone": (r"[0-9+(-]", "[0-9-]")}
 KINDS = [*BASE, *OWN]
 #: A character that any match must hold: texts without it aren't searched.
 NEEDS = {"email": "@", "phone": "+", "ssn": "-"}
@@ -84,7 +86,15 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
-def confirmed(kind: str, match: Column) -> Column:
+def confirmed(kind: str, match: Column, text: Column, start: Column, end: Column) -> Column:
+    if kind in OWN:
+        before, behind = APART[kind]
+        apart = ~F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("").rlike(before) & ~F.substring(text, end + 1, F.lit(1)).rlike(behind)
+        return apart & valid(kind, match)
+    return valid(kind, match)
+
+
+def valid(kind: str, match: Column) -> Column:
     if kind == "ip":
         return match.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")
     if kind == "card":
@@ -102,8 +112,8 @@ def score(kind: str, text: Column, start: Column, end: Column) -> Column:
     base, raising, lowering = SCORES[kind]
     at = F.greatest(start - CONTEXT, F.lit(0))
     near = F.lower(F.concat(F.substring(text, at + 1, start - at), F.lit(" | "), F.substring(text, end + 1, F.lit(CONTEXT))))
-    up = F.when(near.rlike(rf"\b(?:{raising})"), CONTEXT_WEIGHT).otherwise(0.0)
-    down = F.when(near.rlike(rf"\b(?:{lowering})"), CONTEXT_WEIGHT).otherwise(0.0)
+    up = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{raising})"), CONTEXT_WEIGHT).otherwise(0.0)
+    down = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{lowering})"), CONTEXT_WEIGHT).otherwise(0.0)
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(base) + up - down))
 
 
@@ -129,7 +139,7 @@ def with_matches(df: DataFrame, kind: str, pattern: str) -> DataFrame:
         start = total(F.slice("__blocks", F.lit(1), block)) + total(F.slice("__steps", block * _STEP + 1, i % _STEP)) + F.get("__gaps", i)
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), (start + F.length(match)).alias("end"), match.alias("match"))
 
-    df = df.withColumn("__spans", F.when(some, F.filter(F.transform("__m", span), lambda s: confirmed(kind, s["match"]))))
+    df = df.withColumn("__spans", F.when(some, F.filter(F.transform("__m", span), lambda s: confirmed(kind, s["match"], text, s["start"], s["end"]))))
     scored = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, text, s["start"], s["end"]).alias("score")))
     kept = scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
     empty = F.array().cast("array<struct<start:int,k:int,end:int,kind:string,score:double>>")
@@ -178,5 +188,45 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed("__base"), 256).alias("base_sha256"), listed("__spans").alias("spans"))
 
 
+#: The base expressions as the contract writes them, which SQL's linear-time engine needs no possessive form of.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _oracle() -> str:
+    found = " UNION ALL ".join(f"SELECT r, t, {i} AS k, '{kind}' AS kind, regexp_extract_all(t, '{p}') AS m, string_split_regex(t, '{p}') AS parts FROM d" for i, (kind, p) in enumerate((_PLAIN | OWN).items()))
+    apart = " ".join(f"WHEN '{kind}' THEN NOT regexp_matches(before, '{a}') AND NOT regexp_matches(behind, '{b}')" for kind, (a, b) in APART.items())
+    near = lambda i: " ".join(f"WHEN '{kind}' THEN regexp_matches(near, '(?:^|[^\\p{{L}}])(?:{SCORES[kind][i]})')" for kind in OWN)
+    base = " ".join(f"WHEN '{kind}' THEN {SCORES[kind][0]}" for kind in OWN)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{kind}')::BIGINT AS n_{kind}" for kind in BASE)
+    listing = "string_agg(kind || ':' || a || ':' || e, ',' ORDER BY a, k, e)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+found AS ({found}),
+each AS (SELECT r, t, k, kind, m[i] AS x, coalesce(list_sum(list_transform(parts[1:i], lambda p: length(p))), 0)::BIGINT
+                + coalesce(list_sum(list_transform(m[1 : i - 1], lambda p: length(p))), 0)::BIGINT AS a FROM found, unnest(range(1, len(m) + 1)) u(i)),
+placed AS (SELECT *, a + length(x) AS e, regexp_replace(x, '[^0-9]', '', 'g') AS n, replace(x, ' ', '') AS code,
+                  CASE WHEN a > 0 THEN substr(t, a, 1) ELSE '' END AS before, substr(t, a + length(x) + 1, 1) AS behind,
+                  lower(substr(t, greatest(a - {CONTEXT}, 0) + 1, a - greatest(a - {CONTEXT}, 0)) || ' | ' || substr(t, a + length(x) + 1, {CONTEXT})) AS near FROM each),
+good AS (SELECT * FROM placed WHERE CASE kind
+    WHEN 'ip' THEN regexp_full_match(x, '{_OCTET}(?:[.]{_OCTET}){{3}}')
+    WHEN 'phone' THEN length(n) BETWEEN 10 AND 15
+    WHEN 'card' THEN length(n) BETWEEN 14 AND 19 AND list_sum(list_transform(string_split(reverse(n), ''), lambda c, j:
+         CASE WHEN j % 2 = 1 THEN c::INTEGER WHEN c::INTEGER > 4 THEN 2 * c::INTEGER - 9 ELSE 2 * c::INTEGER END)) % 10 = 0
+    WHEN 'iban' THEN length(code) BETWEEN 15 AND 34 AND list_reduce(list_transform(string_split(array_to_string(list_transform(string_split(
+         substr(code, 5) || substr(code, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), ''), ''), lambda c: c::BIGINT), lambda s, c: (s * 10 + c) % 97) = 1
+    ELSE true END AND CASE kind {apart} ELSE true END),
+scored AS (SELECT *, CASE kind {base} ELSE 1 END + {CONTEXT_WEIGHT} * CASE kind {near(1)} ELSE false END::INTEGER - {CONTEXT_WEIGHT} * CASE kind {near(2)} ELSE false END::INTEGER AS score FROM good),
+kept AS (SELECT s.* FROM scored s WHERE k < {len(BASE)} OR least(1.0, s.score) >= {THRESHOLD}
+         AND NOT EXISTS (SELECT 1 FROM scored b WHERE b.r = s.r AND b.k < {len(BASE)} AND b.a < s.e AND s.a < b.e)),
+listed AS (SELECT r, {counts}, {listing} FILTER (WHERE k < {len(BASE)}) AS base, {listing} AS spans FROM kept GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (r)"""
+
+
 QUERIES = {"op4_pii": op4_pii}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_pii": _oracle()}
