@@ -2,11 +2,14 @@
 
 No piece of the vocabulary goes on behind a word: each is blanks followed by other characters.  So a
 text's pieces are those of its pre-tokens: cut before each run of blanks and around each line feed
-(checked against the vocabulary when the model is loaded).  Documents are read in shards; a shard
-gives one row for each distinct pre-token, with (document, frequency) packed into integers.  The
-distinct pre-tokens of all shards are counted once each by the library, joined back to these rows, and
-the products are summed per document.  No ids are made for documents, and the vocabulary of pre-tokens
-may grow as it likes: it is joined, not broadcast, and a hot pre-token has one row a shard.
+(checked against the vocabulary when the model is loaded).
+
+Documents are read in shards.  A shard's distinct pre-tokens, with the places of the documents that
+have them and how often, are dealt by hash into BUCKETS packed rows.  A bucket's task gets these from
+GROUP shards, so it has all uses of its pre-tokens there: it counts each distinct one once by the
+library, joins the count to the frequencies and sums per document.  The buckets' sums then meet per
+shard.  No ids are made for documents and no vocabulary is broadcast; a hot pre-token has one entry a
+document and GROUP bounds how many of these a task gets.
 
 Defined results: a null or empty text has no bytes and no tokens; rows with a null or repeated doc_id
 are counted like any other row; an empty table gives no rows; columns other than doc_id and text are
@@ -16,24 +19,33 @@ not read.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import materialise, table, worker_cache
+from terrace.llm.common import table, worker_cache
 
 LIMIT = 4096
-#: A shard ends at so many bytes of text or documents.
+#: A shard ends at so many bytes of text or documents; a document's place must fit 16 bits.
 SHARD_BYTES = 24 << 20
 SHARD_DOCS = 1 << 15
-#: Frequencies share an int with the document's place; larger ones are split.
+#: Rows that a shard's pre-tokens are packed into, and shards whose buckets meet in a task.
+BUCKETS = 32
+GROUP = 64
+#: Frequencies share 32 bits with the place; larger ones are split.
 LOW = (1 << 16) - 1
 
-ROWS = "shard long, pretoken string, uses array<int>, docs array<struct<doc_id:long,n_bytes:long>>"
+#: A shard's bucket: pre-tokens joined by blanks, and how many documents each has, their places and
+#: frequencies as little-endian integers; its documents are bucket -1.
+PACKED = "grp long, bucket int, shard long, tokens string, sizes binary, places binary, counts binary, doc_ids array<long>, n_bytes array<long>"
+SUMS = "shard long, sums binary, doc_ids array<long>, n_bytes array<long>"
 
 
 def default_path() -> str:
@@ -72,27 +84,42 @@ def pretokens(text: str) -> Counter:
     return out
 
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))])
+
+
+def pack_shard(shard: int, uses: dict[str, list[int]], doc_ids: list, n_bytes: list[int]) -> pa.RecordBatch:
+    """The rows of one shard."""
+    tokens = list(uses)
+    sizes = np.fromiter(map(len, uses.values()), np.int64, len(uses))
+    flat = np.fromiter(chain.from_iterable(uses.values()), np.uint32, int(sizes.sum()))
+    bucket = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in tokens), np.int64, len(tokens))
+    order = np.argsort(bucket, kind="stable")
+    begin = (np.cumsum(sizes) - sizes)[order]
+    sizes, edges = sizes[order], np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    at = np.cumsum(sizes) - sizes
+    flat = flat[np.repeat(begin - at, sizes) + np.arange(len(flat))]
+    ends = np.append(at, len(flat))
+    rows = [((shard >> 32) // GROUP << 32 | shard & 0xFFFFFFFF, -1, shard, None, None, None, None, doc_ids, n_bytes)]
+    for k in range(BUCKETS):
+        a, b = int(edges[k]), int(edges[k + 1])
+        if a < b:
+            own = flat[ends[a] : ends[b]]
+            rows.append((rows[0][0], k, shard, " ".join([tokens[i] for i in order[a:b].tolist()]), sizes[a:b].astype("<u4").tobytes(), (own >> 16).astype("<u2").tobytes(), (own & LOW).astype("<u2").tobytes(), None, None))
+    schema = _schema(PACKED)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of doc_id, text -> ROWS: a shard's pre-tokens, and one row of its documents."""
+    """Batches of doc_id, text -> rows of PACKED; shards are numbered by the task and within it."""
     number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
     uses: dict[str, list[int]] = {}
-    docs: list[dict] = []
-    size = 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        items = list(uses.items())
-        for i in range(0, len(items), 50_000):
-            part = items[i : i + 50_000]
-            signed = [[u - (1 << 32) if u >= 1 << 31 else u for u in x] if x[-1] >= 1 << 31 else x for _, x in part]
-            yield pa.RecordBatch.from_arrays([pa.array([number] * len(part), pa.int64()), pa.array([t for t, _ in part]), pa.array(signed, pa.list_(pa.int32())), pa.nulls(len(part), kind)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.list_(pa.int32())), pa.array([docs], kind)], schema=schema)
-
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64())]))
-    schema = pa.schema([("shard", pa.int64()), ("pretoken", pa.string()), ("uses", pa.list_(pa.int32())), ("docs", kind)])
+    doc_ids, n_bytes, size = [], [], 0
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = text.as_py() or ""
-            place = len(docs) << 16
+            place = len(doc_ids) << 16
             for token, n in pretokens(text).items():
                 while n > LOW:
                     uses.setdefault(token, []).append(place | LOW)
@@ -101,27 +128,55 @@ def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     uses[token] = [place | n]
                 else:
                     own.append(place | n)
-            n_bytes = len(text.encode("utf-8", "surrogatepass"))
-            docs.append({"doc_id": doc, "n_bytes": n_bytes})
-            size += n_bytes
-            if size >= SHARD_BYTES or len(docs) >= SHARD_DOCS:
-                yield from flush()
-                uses, docs, size, number = {}, [], 0, number + 1
-    if docs:
-        yield from flush()
+            doc_ids.append(doc)
+            n_bytes.append(len(text.encode("utf-8", "surrogatepass")))
+            size += n_bytes[-1]
+            if size >= SHARD_BYTES or len(doc_ids) >= SHARD_DOCS:
+                yield pack_shard(number, uses, doc_ids, n_bytes)
+                uses, doc_ids, n_bytes, size, number = {}, [], [], 0, number + 1
+    if doc_ids:
+        yield pack_shard(number, uses, doc_ids, n_bytes)
+
+
+def count_pieces(model, tokens: list[str]) -> list[int]:
+    """The number of pieces of each pre-token."""
+    line_feed = len(model.encode("\n"))  # with the blank that the library puts first
+    texts = [t[1:] if t[0] == "▁" and len(t) > 1 else f"\n{t}" for t in tokens]
+    return [len(x) - (line_feed if t[0] == "\n" else 0) for t, x in zip(texts, model.encode(texts, num_threads=1), strict=True)]
 
 
-def count_pieces(path: str):
-    """Batches of distinct pre-tokens -> pretoken, pieces."""
+def sum_bucket(path: str):
+    """A bucket's rows of a group of shards -> per shard the sums over its documents."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: pa.Table) -> pa.Table:
+        if rows.column("bucket")[0].as_py() < 0:
+            return rows.select(["shard", "doc_ids", "n_bytes"]).add_column(1, "sums", pa.nulls(rows.num_rows, pa.binary()))
         model = worker_cache(f"pieces:{path}", lambda: load(path))
-        line_feed = len(model.encode("\n"))  # with the blank that the library puts first
-        for batch in batches:
-            tokens = batch.column(0).to_pylist()
-            texts = [t[1:] if t[0] == "▁" and len(t) > 1 else f"\n{t}" for t in tokens]
-            pieces = [len(x) - (line_feed if t[0] == "\n" else 0) for t, x in zip(texts, model.encode(texts, num_threads=1), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pieces, pa.int64())], names=["pretoken", "pieces"])
+        lists = [x.as_py().split(" ") for x in rows.column("tokens")]
+        distinct = list(set(chain.from_iterable(lists)))
+        pieces = dict(zip(distinct, count_pieces(model, distinct), strict=True))
+        sums = []
+        for tokens, sizes, places, counts in zip(lists, *(rows.column(c).to_pylist() for c in ("sizes", "places", "counts")), strict=True):
+            each = np.repeat(np.fromiter(map(pieces.__getitem__, tokens), np.int64, len(tokens)), np.frombuffer(sizes, "<u4"))
+            sums.append(np.bincount(np.frombuffer(places, "<u2"), each * np.frombuffer(counts, "<u2")).astype("<u4").tobytes())
+        n = rows.num_rows
+        return pa.Table.from_arrays([rows.column("shard").cast(pa.int64()), pa.array(sums, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int64()))], schema=_schema(SUMS))
+
+    return run
+
+
+def sum_shard(limit: int):
+    """A shard's sums from all buckets, and its documents -> a row a document."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        (docs,) = [i for i, x in enumerate(rows.column("doc_ids")) if x.is_valid]
+        doc_ids, n_bytes = rows.column("doc_ids")[docs].values, rows.column("n_bytes")[docs].values
+        total = np.zeros(len(doc_ids), np.int64)
+        for x in rows.column("sums"):
+            if x.is_valid:
+                own = np.frombuffer(x.as_py(), "<u4")
+                total[: len(own)] += own
+        return pa.Table.from_arrays([doc_ids, n_bytes, pa.array(total), pa.array(total > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return run
 
@@ -129,16 +184,9 @@ def count_pieces(path: str):
 def count(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = materialise(texts.mapInArrow(read_shards, ROWS), "pretokens")
-    tokens = rows.where("pretoken is not null")
-    pieces = tokens.select("pretoken").distinct().mapInArrow(count_pieces(path or default_path()), "pretoken string, pieces long")
-    uses = tokens.select("shard", "pretoken", "uses").join(pieces.withColumnRenamed("pretoken", "pretoken_"), F.col("pretoken") == F.col("pretoken_"))
-    each = uses.select("shard", "pieces", F.explode("uses").alias("use"))
-    sums = each.groupBy("shard", F.shiftrightunsigned("use", 16).alias("place")).agg(F.sum(F.col("use").bitwiseAND(LOW) * F.col("pieces")).alias("n"))
-    places = rows.where("pretoken is null").select(F.col("shard").alias("shard_"), F.posexplode("docs").alias("place_", "doc"))
-    found = places.join(sums, (F.col("shard") == F.col("shard_")) & (F.col("place") == F.col("place_")), "left")
-    n = F.coalesce("n", F.lit(0).cast("long"))
-    return found.select("doc.doc_id", "doc.n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+    packed = texts.mapInArrow(read_shards, PACKED)
+    sums = packed.groupBy("grp", "bucket").applyInArrow(sum_bucket(path or default_path()), SUMS)
+    return sums.groupBy("shard").applyInArrow(sum_shard(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
