@@ -15,6 +15,8 @@ and text are not read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,19 +76,19 @@ def text_of(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """docs (doc_id and columns) with next_<column> of the next row by doc_id; the last row's is the first.
+def with_next(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
+    """enrich(docs)'s doc_id and columns with next_<column> of the next row by doc_id; the last row's is the first.
 
-    Ids are ordered within buckets of 2^BUCKET neighbouring ids, so no task sees more than one bucket at
-    a time and the rows move once.  Only a bucket's last row needs another's first: the order of buckets
-    comes from ids alone, in two levels.
+    docs has doc_id and text; enrich works row by row.  Ids are ordered within buckets of 2^BUCKET
+    neighbouring ids, so no task sees more than one bucket at a time and the rows move once.  Only a
+    bucket's last row needs another bucket's first: these are picked before anything is computed or
+    moved, and the order of buckets comes from ids alone, in two levels.
     """
     low = -(1 << 63)
     dealt = docs.withColumn("__b", F.coalesce(F.shiftright("doc_id", BUCKET), F.lit(low >> BUCKET)))
-    tie = F.xxhash64(*columns)
-    w = Window.partitionBy("__b").orderBy(F.col("doc_id").asc_nulls_first(), tie)
-    numbered = dealt.withColumns({"__n": F.row_number().over(w), "__last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{c}": F.lead(c).over(w) for c in columns})
-    firsts = numbered.where("__n = 1").select(F.col("__b").alias("__at"), *(F.col(c).alias(f"__{c}") for c in columns))
+    w = Window.partitionBy("__b").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    numbered = enrich(dealt).withColumns({"__last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{c}": F.lead(c).over(w) for c in columns})
+    firsts = enrich(dealt.withColumn("__n", F.row_number().over(w)).where("__n = 1")).select(F.col("__b").alias("__at"), *(F.col(c).alias(f"__{c}") for c in columns))
 
     ids = docs.select(F.coalesce(F.shiftright("doc_id", BUCKET), F.lit(low >> BUCKET)).alias("__b")).distinct()
     wide = ids.withColumn("__w", F.shiftright("__b", WIDE))
@@ -104,7 +106,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
 def compare_edited(docs: DataFrame) -> DataFrame:
     """Each document, its edited text (the second half replaced by the next one's beginning), and their sketches."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(with_sketch(texts, "text", "sketch"), ["text", "sketch"])
+    rows = with_next(texts, lambda df: with_sketch(df, "text", "sketch"), ["text", "sketch"])
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
