@@ -52,34 +52,46 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     """The items of each of k windows, by the largest differencing method.
 
     A partial partition is the ascending sums of its windows that hold anything (the others of its k
-    are empty) and a node for each of them; nodes form a forest over the items.
+    are empty) and a node for each of them; nodes form a forest over the items.  Single items wait in
+    falling order: while they are the largest, merging them one by one fills a partition's empty
+    windows in that order, so it is done for all of them at once.
     """
-    left: list[int] = [-1] * len(sizes)
-    right: list[int] = [-1] * len(sizes)
-    parts = {i: (np.array([s]), np.array([i])) for i, s in enumerate(sizes)}
-    heap = [(-int(s), i) for i, s in enumerate(sizes)]
     if k == 1:
         return [list(range(len(sizes)))]
-    heapq.heapify(heap)
-    while len(heap) > 1:
-        _, a = heapq.heappop(heap)
-        _, b = heapq.heappop(heap)
-        (sa, na), (sb, nb) = parts.pop(a), parts.pop(b)
+    left, right = [-1] * len(sizes), [-1] * len(sizes)
+    order = np.argsort(-sizes, kind="stable")
+    single, n, p = sizes[order].astype(np.int64), len(sizes), 0
+    heap: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+
+    def put(sums: np.ndarray, nodes: np.ndarray) -> None:
+        heapq.heappush(heap, (-int(sums[-1] - (sums[0] if len(sums) == k else 0)), int(nodes[0]), sums, nodes))
+
+    while len(heap) + n - p > 1 or not heap:
+        spread = -heap[0][0] if heap else 0
+        q = min(k, int(np.searchsorted(-single[p:], -spread, "right")))
+        if q > 1 or not heap:
+            put(single[p : p + q][::-1], order[p : p + q][::-1])
+            p += q
+            continue
+        _, _, sa, na = heapq.heappop(heap)
+        if heap and (p == n or -heap[0][0] >= single[p]):
+            _, _, sb, nb = heapq.heappop(heap)
+        else:
+            sb, nb = single[p : p + 1], order[p : p + 1]
+            p += 1
         over = len(sa) + len(sb) - k
         if over > 0:  # besides empty ones, the over emptiest windows of both meet, in opposite order
-            sums = sa[:over] + sb[:over][::-1]
             first = len(left)
             left += na[:over].tolist()
             right += nb[:over][::-1].tolist()
-            nodes = np.arange(first, first + over)
-            sums, nodes = np.concatenate([sums, sa[over:], sb[over:]]), np.concatenate([nodes, na[over:], nb[over:]])
+            sums = np.concatenate([sa[:over] + sb[:over][::-1], sa[over:], sb[over:]])
+            nodes = np.concatenate([np.arange(first, first + over), na[over:], nb[over:]])
         else:
             sums, nodes = np.concatenate([sa, sb]), np.concatenate([na, nb])
-        order = np.argsort(sums, kind="stable")
-        parts[a] = sums, nodes = sums[order], nodes[order]
-        heapq.heappush(heap, (-int(sums[-1] - (sums[0] if len(sums) == k else 0)), a))
+        by = np.argsort(sums, kind="stable")
+        put(sums[by], nodes[by])
     out = []
-    for node in parts[heap[0][1]][1].tolist():
+    for node in heap[0][3].tolist():
         items, todo = [], [node]
         while todo:
             x = todo.pop()
