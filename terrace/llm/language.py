@@ -134,12 +134,16 @@ def fit(docs: DataFrame) -> Model:
         share = F.when(F.col("lang") == lang, min(1 << 20, (each << 20) // n)).otherwise(share)
     key = F.xxhash64("doc_id", "text")
     dealt = rows.select("text", "lang", key.alias("key"), (F.coalesce(F.pmod(key, F.lit(1 << 20)) < share, F.lit(False))).alias("taken"))
-    schema = "lang string, key long, at array<int>, n array<int>"
+    schema = "lang string, key long, at array<int>, n array<int>, vector binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document of the sample, and at the end one of document frequencies, with no lang."""
-        names = ["lang", "key", "at", "n"]
-        kinds = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        numbers = pa.list_(pa.int32())
+        schema = pa.schema([("lang", pa.string()), ("key", pa.int64()), ("at", numbers), ("n", numbers), ("vector", pa.binary())])
+
+        def rows(*found: tuple) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
+
         frequency, total = np.zeros(DIMENSIONS, np.int64), 0
         for batch in batches:
             out = []
@@ -148,11 +152,11 @@ def fit(docs: DataFrame) -> Model:
                 frequency[at] += 1
                 total += len(at) > 0
                 if taken and len(at):
-                    out.append((lang, key, at, n))
+                    out.append((lang, key, None, None, np.array([at, n], "<i4").tobytes()))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                yield rows(*out)
         at = np.flatnonzero(frequency)
-        yield pa.RecordBatch.from_arrays([pa.array([None], kinds[0]), pa.array([total], kinds[1]), pa.array([at], kinds[2]), pa.array([frequency[at]], kinds[3])], names=names)
+        yield rows((None, total, at, frequency[at], None))
 
     seen = materialise(dealt.mapInArrow(read, schema), "languages")
     tasks = seen.where("lang is null")
@@ -161,9 +165,9 @@ def fit(docs: DataFrame) -> Model:
     idf = np.zeros(DIMENSIONS)
     idf[df["at"].to_numpy(int)] = df["n"].to_numpy(float)
     model = Model(languages, np.log((1 + total) / (1 + idf)) + 1)
-    sample = sorted(seen.where("lang is not null").collect(), key=lambda r: (r["key"], r["lang"]))
+    sample = sorted(seen.where("lang is not null").select("lang", "key", "vector").collect(), key=lambda r: (r["key"], r["lang"], r["vector"]))
     if languages and sample:
-        train(model, [(languages.index(r["lang"]), np.array(r["at"]), np.array(r["n"])) for r in sample])
+        train(model, [(languages.index(r["lang"]), *np.frombuffer(r["vector"], "<i4").reshape(2, -1)) for r in sample])
     return model if sample else Model([], np.zeros(DIMENSIONS))
 
 
