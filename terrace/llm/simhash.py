@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import buckets, materialise, table
+from terrace.llm.common import buckets, materialise, partitions, table
 
 SEED = 42
 SHINGLE = 3
 RADIUS = 2
-#: Fingerprints that shape the tree, whatever the input, and those in a shard (as expected from the sample).
-SAMPLE = 40_000
-SHARD = 20_000
+#: Fingerprints that shape the tree, whatever the input.
+SAMPLE = 200_000
+#: Fingerprints in a shard, as expected from the sample: so many that there are some four shards a
+#: partition, within these bounds.  More shards than that would only repeat more queries.
+SHARD = (2_000, 1_000_000)
 #: Below this many fingerprints distances are taken directly.
 LEAF = 192
 
@@ -180,16 +182,15 @@ def join(points: np.ndarray, home: np.ndarray, query: np.ndarray, radius: int, f
 
 
 def shard_links(radius: int):
-    """Rows of one shard (leaf, fp, node, query) -> edges u < v between nodes."""
+    """The rows of one shard (leaf, fp, node, query) -> edges u < v between nodes."""
 
-    def run(batches) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches))
-        points = t.column("fp").to_numpy().view(np.uint64)
-        node, query = t.column("node").to_numpy(), t.column("query").to_numpy().astype(bool)
+    def run(rows: pa.Table) -> pa.Table:
+        points = rows.column("fp").to_numpy().view(np.uint64)
+        node, query = rows.column("node").to_numpy(), rows.column("query").to_numpy().astype(bool)
         forest = Forest(len(points))
         join(points, np.flatnonzero(~query), np.flatnonzero(query), radius, forest)
         e = node[np.array(forest.edges, np.int64).reshape(-1, 2)]
-        yield pa.RecordBatch.from_arrays([pa.array(e.min(axis=1)), pa.array(e.max(axis=1))], names=["u", "v"])
+        return pa.table({"u": e.min(axis=1), "v": e.max(axis=1)})
 
     return run
 
@@ -204,7 +205,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     keep = max(1, min(1 << 30, rows and (1 << 30) * SAMPLE // rows))
     sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < keep).select("fp").limit(2 * SAMPLE).toPandas()["fp"].to_numpy(np.int64)
     sample = np.random.default_rng(0).permutation(np.sort(sample)).view(np.uint64)
-    nodes = tree(sample, buckets(rows, SHARD)) if len(sample) else [(0,)]
+    size = min(SHARD[1], max(SHARD[0], rows // (4 * partitions(spark))))
+    nodes = tree(sample, buckets(rows, size)) if len(sample) else [(0,)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,13 +215,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fp[at]), pa.array(node[at]), pa.array(query.astype(np.int8))], names=["leaf", "fp", "node", "query"])
 
     dealt = distinct.select("fp", "node").mapInArrow(deal, "leaf long, fp long, node long, query byte")
-    n = sum(len(x) == 1 for x in nodes)
-    run = shard_links(radius)
-
-    def each(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(list(run(table.to_batches())) if table.num_rows else [], schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-    return dealt.repartition(max(1, n), "leaf").groupBy("leaf").applyInArrow(each, "u long, v long") if n > 1 else dealt.groupBy("leaf").applyInArrow(each, "u long, v long")
+    return dealt.groupBy("leaf").applyInArrow(shard_links(radius), "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:

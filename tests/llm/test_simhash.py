@@ -38,7 +38,7 @@ def query(spark, monkeypatch, df):
     return simhash.op5_simhash(spark, "")
 
 
-@pytest.mark.parametrize("shard", [simhash.SHARD, 25])
+@pytest.mark.parametrize("shard", [simhash.SHARD, (25, 25)])
 def test_equals_all_pairs(spark, docs, monkeypatch, shard):
     monkeypatch.setattr(simhash, "SHARD", shard)
     monkeypatch.setattr(simhash, "LEAF", 8)
