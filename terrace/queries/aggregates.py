@@ -67,9 +67,9 @@ def order_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("""
-SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 4) AS price FROM part GROUP BY ROLLUP (p_brand, p_type)""")
+SELECT p_brand, p_type, count(*) AS n, round(avg(p_retailprice), 8) AS price FROM part GROUP BY ROLLUP (p_brand, p_type)""")
 def part_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").rollup("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 4).alias("price"))
+    return table(spark, sf_dir, "part").rollup("p_brand", "p_type").agg(F.count("*").alias("n"), F.round(F.avg("p_retailprice"), 8).alias("price"))
 
 
 @BOOK.add("""
