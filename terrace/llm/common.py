@@ -63,12 +63,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def worker_cache(name: str, make):
-    """make() once per Python worker, kept from task to task."""
+def worker_cache(operator: str, name: str, make):
+    """make() once per Python worker, kept from task to task while the worker runs the same operator.
+
+    A worker serves many stages: what it keeps for one goes when it turns to another.
+    """
     held = sys.modules.setdefault("_terrace_worker", types.ModuleType("_terrace_worker"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
+    if getattr(held, "operator", None) != operator:
+        held.operator, held.kept = operator, {}
+    if name not in held.kept:
+        held.kept[name] = make()
+    return held.kept[name]
 
 
 def crc_mod(doc_id: str, n: int) -> Column:

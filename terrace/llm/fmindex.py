@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from terrace.llm.common import table, worker_cache
 
 WINDOW = 10
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 SAMPLE = 8
 #: Benchmark words in a block: the benchmark is searched block by block, so a worker holds one block.
 BLOCK_WORDS = 2_000_000
@@ -336,7 +336,7 @@ def scanner(sent: list, window: int):
     """The worker's blocks, made once for each content."""
 
     def block(name: str, content) -> Block:
-        return worker_cache(f"block:{window}:{name}", lambda: Block(pickle.loads(content.value), window))
+        return worker_cache("fmindex", f"{window}:{name}", lambda: Block(pickle.loads(content.value), window))
 
     return lambda: [block(*x) for x in sent]
 

@@ -40,7 +40,7 @@ def _letters() -> np.ndarray:
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Places and counts of the n-grams of a whole text; none if it has no letter."""
-    letters = worker_cache("letters", _letters)
+    letters = worker_cache("language", "letters", _letters)
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     is_letter = letters[c]
     if not is_letter.any():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import buckets, materialise, partitions, table
+from terrace.llm.common import buckets, materialise, partitions, table, worker_cache
 
 SEED = 42
 SHINGLE = 3
@@ -64,6 +64,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("simhash", "nothing", lambda: None)  # lets go of another operator's
         for batch in batches:
             fp = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], names=["doc_id", "fp"])

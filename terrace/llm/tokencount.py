@@ -151,7 +151,7 @@ def sum_bucket(path: str):
     def run(rows: pa.Table) -> pa.Table:
         if rows.column("bucket")[0].as_py() < 0:
             return rows.select(["shard", "doc_ids", "n_bytes"]).add_column(1, "sums", pa.nulls(rows.num_rows, pa.binary()))
-        model = worker_cache(f"pieces:{path}", lambda: load(path))
+        model = worker_cache("tokencount", path, lambda: load(path))
         lists = [x.as_py().split(" ") for x in rows.column("tokens")]
         distinct = list(set(chain.from_iterable(lists)))
         pieces = dict(zip(distinct, count_pieces(model, distinct), strict=True))

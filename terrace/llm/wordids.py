@@ -15,7 +15,7 @@ from terrace.llm.common import worker_cache
 
 #: Chunks, and as many words, that a worker's young generation holds; the one before it is kept beside it.
 #: A bound of memory, not of results.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 250_000
 #: A Latin-1 word with ASCII punctuation behind it: the library's pre-tokenizer cuts between them.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 
@@ -97,4 +97,4 @@ class WordEncoder:
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for the vocabulary file at path."""
-    return worker_cache(f"words:{path}", lambda: WordEncoder(path))
+    return worker_cache("words", path, lambda: WordEncoder(path))
