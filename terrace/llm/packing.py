@@ -28,7 +28,7 @@ from terrace.llm.common import buckets, materialise, table
 from terrace.llm.wordids import default_path, encoder
 
 CAPACITY = 2048
-END = np.array([1], "<u4").tobytes()
+END = np.array([1], "<u4")
 #: Longest piece of a document's rest, and pieces in a group.
 PIECE = 512
 GROUP = 2048
@@ -121,11 +121,9 @@ def cut_documents(path: str):
         encode = encoder(path)
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + END
-                n = len(ids) // 4
-                view = memoryview(ids)
-                rows += [(doc, at, size, zlib.crc32(view[4 * at : 4 * (at + size)]), n) for at, size in cuts(n)]
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
+                ids = np.append(ids, END)
+                rows += [(doc, at, size, zlib.crc32(ids[at : at + size]), len(ids)) for at, size in cuts(len(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, schema=PIECES)
 
     return run

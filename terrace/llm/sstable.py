@@ -197,13 +197,13 @@ def write_shards(folder: str, vocabulary: str):
         end = np.array([END_ID], "<u4")
         path = f"{folder}/part-{context.partitionId():05d}-{context.taskAttemptId()}.sst"
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
                 if writer is None:
                     system, name = _file_system(path)
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(name)
                     writer = Writer(stream, width)
-                writer.add(key_of(doc), np.concatenate([np.frombuffer(encode(text.as_py()), "<u4"), end]))
+                writer.add(key_of(doc), np.append(ids, end))
         if writer is not None:
             writer.close()
             stream.close()

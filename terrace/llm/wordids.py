@@ -10,12 +10,19 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from terrace.llm.common import worker_cache
 
 #: Chunks, and as many words, that a worker's young generation holds; the one before it is kept beside it.
 #: A bound of memory, not of results.
 CACHE_ENTRIES = 250_000
+#: Bytes of text that are cut and looked up together.
+SLICE = 8 << 20
 #: A Latin-1 word with ASCII punctuation behind it: the library's pre-tokenizer cuts between them.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 
@@ -84,16 +91,48 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.known = _Known(self.tokenizer)
         encode = self.known.encode
-        odd = [c for c in map(chr, range(0x3001)) if c.isspace() and encode(f"a{c}b") != encode("a") + encode("b")]
+        between = [f"a{chr(c)}b" for c in range(0x3001)]
+        cut = pc.list_value_length(pc.utf8_split_whitespace(pa.array(between))).to_pylist()
+        odd = [x[1] for x, n in zip(between, cut, strict=True) if (n > 1 or x[1].isspace()) and encode(x) != encode("a") + encode("b")]
         self.odd = re.compile(f"[{re.escape(''.join(odd))}]") if odd else re.compile(r"(?!)")
 
     def __call__(self, text: str | None) -> bytes:
+        """The ids of one text."""
         if not text:
             return b""
         if self.odd.search(text):
             return self.known.encode(text)
         return b"".join(map(self.known.__getitem__, text.split()))
 
+    def batch(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array, in slices of about SLICE bytes.
+
+        A slice's chunks are cut and numbered by Arrow, each distinct one is looked up once, and the
+        ids are gathered by place.
+        """
+        size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        first = 0
+        while first < len(texts):
+            last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE, "right")))
+            yield from self._slice(texts.slice(first, last - first))
+            first = last
+
+    def _slice(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        texts = pc.fill_null(texts, "")
+        lists = pc.utf8_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        of, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        known = self.known
+        ids = [known[x] if x else b"" for x in distinct]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, begin = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths
+        n = lengths[of]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        flat = flat[np.repeat(begin[of] - ends[:-1], n) + np.arange(ends[-1])]
+        edges = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+        for i, odd in enumerate(pc.match_substring_regex(texts, self.odd.pattern).to_pylist() if self.odd.pattern != "(?!)" else [False] * len(texts)):
+            yield np.frombuffer(known.encode(texts[i].as_py()), "<u4") if odd else flat[edges[i] : edges[i + 1]]
+
 
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder for the vocabulary file at path."""

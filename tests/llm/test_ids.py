@@ -7,9 +7,10 @@ from array import array
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from terrace.llm import packing, sstable
+from terrace.llm import packing, sstable, wordids
 from terrace.llm.wordids import WordEncoder, default_path
 from tests.llm.conftest import pairs, texts
 
@@ -36,9 +37,18 @@ def test_encoder_equals_library(encode, docs):
         assert encode(text) == array("I", ids_of(encode, text)[:-1]).tobytes(), text
 
 
-def test_encoder_forgets(encode, docs, monkeypatch):
-    from terrace.llm import wordids
+@pytest.mark.parametrize("size", [wordids.SLICE, 300])
+def test_batches_equal_library(encode, docs, monkeypatch, size):
+    monkeypatch.setattr(wordids, "SLICE", size)
+    r = random.Random(2)
+    all_ = [t for _, t in pairs(docs)[:60]] + texts() + ["".join(r.choice("aA'sSt é́ßÉİΣ.!,<|1٠ \n\xa0　\u2028\x85 ǅﬁ日ー\x1f\x1c_-") for _ in range(r.randint(0, 30))) for _ in range(500)]
+    for many in (all_, all_[3:4], [None], []):
+        got = list(encode.batch(pa.array(many, pa.string())))
+        assert [x.tolist() for x in got] == [ids_of(encode, t)[:-1] for t in many]
+    assert [x.tolist() for x in encode.batch(pa.array(all_, pa.string()).slice(5, 20))] == [ids_of(encode, t)[:-1] for t in all_[5:25]]
+
 
+def test_encoder_forgets(encode, docs, monkeypatch):
     monkeypatch.setattr(wordids, "CACHE_ENTRIES", 50)
     small = WordEncoder(default_path())
     for _, text in pairs(docs)[:40]:
