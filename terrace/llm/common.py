@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import atexit
 import math
+import pickle
 import re
 import sys
 import tempfile
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,12 @@ def worker_cache(operator: str, name: str, make):
     return held.kept[name]
 
 
+def ship(spark: SparkSession, thing):
+    """A function that gives thing on a worker; by value, as a worker needn't know this package. Call it once a task."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
+
+
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; -1 for a null id."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n)), F.lit(-1))

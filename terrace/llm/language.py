@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import crc_mod, materialise, table, worker_cache
+from terrace.llm.common import crc_mod, materialise, ship, table, worker_cache
 
 FOLDS, HELD_OUT = 4, 2
 DIMENSIONS = 1 << 15
@@ -178,12 +178,12 @@ def training_part(docs: DataFrame) -> DataFrame:
 
 def predict(docs: DataFrame, model: Model, columns: list[str], put: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs' columns with the predicted language and its score, named by put; of a row only its text is looked at."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = ship(docs.sparkSession, model)
     rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
     names = [*columns, *put]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = sent()
         for batch in batches:
             found = [model.predict(t.as_py()) for t in batch.column(len(columns))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=names)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import crc_mod, materialise, table
+from terrace.llm.common import crc_mod, materialise, ship, table
 
 STATISTICS = ("words", "word_length", "long_words", "symbols", "punctuation", "digits", "upper", "line_repeats", "word_repeats", "short_lines", "pipes", "bangs", "stop_like", "entropy")
 FOLDS, HELD_OUT = 5, 0
@@ -169,11 +169,12 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
     model = model_of(total[:, 0], total[:, 1 : 1 + d], total[:, 1 + d :].reshape(2, d, d))
     if not len(model.factors):
         return model
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = ship(rows.sparkSession, model)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
-            at = np.round(sent.value.difference(_matrix(batch.column(1))) * 4).astype(np.int64)
+            at = np.round(model.difference(_matrix(batch.column(1))) * 4).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0)], names=["bin", "quality"])
 
     binned = rows.mapInArrow(bins, "bin long, quality int").groupBy("bin", "quality").count().toPandas()
@@ -183,11 +184,12 @@ def fit(features: DataFrame, labels: DataFrame) -> Model:
 
 def scored(features: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row of features."""
-    sent = features.sparkSession.sparkContext.broadcast(model)
+    sent = ship(features.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent()
         for batch in batches:
-            score = sent.value.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
+            score = model.score(_matrix(batch.column(1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], names=["doc_id", "score"])
 
     return features.mapInArrow(run, "doc_id long, score double")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import table
+from terrace.llm.common import ship, table
 
 #: (verdict, host, path): the production rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -144,16 +144,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_liste
     for verdict, keys in lists.items():
         own = spark.createDataFrame([(k,) for k in keys], "key string").select(*hashes(F.col("key"))).toPandas().to_numpy(np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
         cascades[verdict] = build_cascade(own, universe, n) if keys else Cascade([])
-    sent = spark.sparkContext.broadcast(cascades)
+    sent = ship(spark, cascades)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds at: 1 + the place of the first listed key, negative if it blocks, 0 if none is listed."""
+        cascades = sent()
         for batch in batches:
             one, two = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
             size = pa.compute.list_value_length(one).to_numpy(zero_copy_only=False).astype(np.int64)
             h1, h2 = one.flatten().to_numpy(), two.flatten().to_numpy()
-            blocked = sent.value["block"].has(h1, h2)
-            hit = np.flatnonzero(blocked | sent.value["allow"].has(h1, h2))
+            blocked = cascades["block"].has(h1, h2)
+            hit = np.flatnonzero(blocked | cascades["allow"].has(h1, h2))
             row = np.repeat(np.arange(len(size)), size)[hit]
             rows, first = np.unique(row, return_index=True)
             at = np.zeros(len(size), np.int32)
