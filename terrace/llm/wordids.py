@@ -20,9 +20,9 @@ from terrace.llm.common import worker_cache
 
 #: Chunks, and as many words, that a worker's young generation holds; the one before it is kept beside it.
 #: A bound of memory, not of results.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 200_000
 #: Bytes of text that are cut and looked up together.
-SLICE = 8 << 20
+SLICE = 5 << 20
 #: A Latin-1 word with ASCII punctuation behind it: the library's pre-tokenizer cuts between them.
 _WORD = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!#$%&*,.:;?|]*)")
 
