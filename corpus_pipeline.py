@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import fmindex, language, packing, pii, simhash
+from terrace.llm import fmindex, language, near, packing, pii
 from terrace.llm.common import materialise, table
 
 
@@ -22,8 +22,8 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of SimHash links stays."""
-    return simhash.first_of_each(docs)
+    """One document of each component of texts alike by 0.8 in 5-word shingles stays."""
+    return near.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
