@@ -37,6 +37,9 @@ OWN = {
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
     "local_phone": r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}",
 }
+#: Where an account number may begin, and its forms from there, longest first: one run, or groups of four and a rest.
+IBAN_START = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[A-Z0-9]{11}|\x20[A-Z0-9]{4}\x20[A-Z0-9]{4})"
+IBAN_FORMS = [rf"^[A-Z0-9]{{4}}{rest}(?![A-Za-z0-9])" for rest in ("[A-Z0-9]{11,30}", *(rf"(?:\x20[A-Z0-9]{{4}}){{{k}}}{more}" for k in range(7, 1, -1) for more in (r"\x20[A-Z0-9]{1,3}", "")))]
 #: kind -> characters that may not stand right before or behind a match.
 APART = {"iban": ("[A-Za-z0-9]", "[A-Za-z0-9]"), "ssn": ("[0-9-]", "[0-9-]"), "local_phone": (r"[0-9+(-]", "[0-9-]")}
 KINDS = [*BASE, *OWN]
@@ -108,6 +111,28 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def longest_ibans(spans: Column, text: Column) -> Column:
+    """Spans of IBAN_START, each with the longest of its forms that is valid, leftmost and non-overlapping.
+
+    A word of capitals behind the last group looks like a group, so the longest form alone isn't enough.
+    """
+
+    def whole(s: Column) -> Column:
+        tail = F.substring(text, s["start"] + 1, F.lit(44))
+        forms = F.array(*(F.regexp_substr(tail, F.lit(form)) for form in IBAN_FORMS))
+        match = F.coalesce(F.get(F.filter(forms, lambda x: x.isNotNull() & valid("iban", x)), F.lit(0)), F.lit(""))
+        return F.struct(s["start"].alias("start"), s["k"].alias("k"), match.alias("match"))
+
+    def ended(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), s["k"].alias("k"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match"))
+
+    def add(done: Column, s: Column) -> Column:
+        free = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) <= s["start"]
+        return F.when(free & (s["match"] != ""), F.concat(done, F.array(s))).otherwise(done)
+
+    return F.aggregate(F.transform(F.transform(spans, whole), ended), F.array().cast("array<struct<start:int,k:int,end:int,match:string>>"), add)
+
+
 def score(kind: str, text: Column, start: Column, end: Column) -> Column:
     base, raising, lowering = SCORES[kind]
     at = F.greatest(start - CONTEXT, F.lit(0))
@@ -139,7 +164,10 @@ def with_matches(df: DataFrame, kind: str, pattern: str) -> DataFrame:
         start = total(F.slice("__blocks", F.lit(1), block)) + total(F.slice("__steps", block * _STEP + 1, i % _STEP)) + F.get("__gaps", i)
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), (start + F.length(match)).alias("end"), match.alias("match"))
 
-    df = df.withColumn("__spans", F.when(some, F.filter(F.transform("__m", span), lambda s: confirmed(kind, s["match"], text, s["start"], s["end"]))))
+    spans = F.transform("__m", span)
+    if kind == "iban":
+        spans = longest_ibans(spans, text)
+    df = df.withColumn("__spans", F.when(some, F.filter(spans, lambda s: confirmed(kind, s["match"], text, s["start"], s["end"]))))
     scored = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, text, s["start"], s["end"]).alias("score")))
     kept = scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
     empty = F.array().cast("array<struct<start:int,k:int,end:int,kind:string,score:double>>")
@@ -149,7 +177,7 @@ def with_matches(df: DataFrame, kind: str, pattern: str) -> DataFrame:
 def detect(docs: DataFrame) -> DataFrame:
     """docs with __base (spans of the base kinds) and __spans (all spans), by start and kind."""
     df = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    for kind, pattern in (BASE | OWN).items():
+    for kind, pattern in (BASE | OWN | {"iban": IBAN_START}).items():
         df = with_matches(df, kind, pattern)
     df = df.withColumn("__base", F.sort_array(F.concat(*(F.col(f"__{k}") for k in BASE))))
     free = F.filter(F.concat(*(F.col(f"__{k}") for k in OWN)), lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))

@@ -128,3 +128,22 @@ def test_redact(spark, odd):
     out = pii.redact(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert out.where(F.col("text").contains("a.b@c.de")).count() == 0
+
+
+FULL_GROUPS = [
+    ("pay to BE68 5390 0754 7034 Thanks", "iban:7:26"),
+    ("pay to BE68 5390 0754 7034 EUR 5", "iban:7:26"),
+    ("pay to BE68 5390 0754 7034 NOW PLEASE", "iban:7:26"),
+    ("AT61 1904 3002 3457 3201 Danke", "iban:0:24"),
+    ("ES91 2100 0418 4502 0005 1332 Gracias", "iban:0:29"),
+    ("PL61 1090 1014 0000 0712 1981 2874 Bank", "iban:0:34"),
+    ("BE68 5390 0754 7034 DE89 3704 0044 0532 0130 00 x", "iban:0:19,iban:20:47"),
+    ("BE68 5390 0754 7035 Thanks", ""),
+    ("xBE68 5390 0754 7034 BE68 5390 0754 7034x", ""),
+]
+
+
+def test_full_groups_before_a_word(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(FULL_GROUPS)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in query(spark, monkeypatch, df).collect()} == {i: x for i, (_, x) in enumerate(FULL_GROUPS)}
+    assert pii.redact(df.where("doc_id = 0")).first()["text"] == "pay to <IBAN> Thanks"
