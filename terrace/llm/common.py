@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import math
 import pickle
 import re
@@ -10,13 +11,14 @@ import sys
 import tempfile
 import types
 import uuid
+from collections.abc import Iterator
 
-from pyspark import cloudpickle
+from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Scratch folders of this process, removed when it ends.
-_MADE: list[tuple[SparkSession, str]] = []
+#: Scratch folders of this process that are still there, with the settings that open them; removed when it ends.
+_MADE: dict[str, object] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,33 +38,62 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; it goes when the process ends."""
+    """A new path below the shared folder; it goes when the process ends, if not before."""
     path = f"{scratch_root(spark)}/terrace-{name}-{uuid.uuid4().hex}"
     if not _MADE:
+        atexit.unregister(_clean)
         atexit.register(_clean)
-    _MADE.append((spark, path))
+    _MADE[path] = spark.sparkContext._jsc.hadoopConfiguration()
     return path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def remove_path(path: str) -> None:
+    """Removes a scratch path, also after its session has stopped; what can't be opened any more is let be."""
+    conf = _MADE.pop(path, None)
+    if conf is not None:
+        with contextlib.suppress(Exception):  # the driver's JVM is gone: the cluster's own cleaning has the rest
+            where = SparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def _clean() -> None:
-    for spark, path in _MADE:
-        try:
-            remove_path(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended: the cluster's own cleaning has the rest
-            return
+    for path in list(_MADE):
+        remove_path(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Removes the scratch tables that were made inside when it ends: results must have been written by then."""
+    before = set(_MADE)
+    try:
+        yield
+    finally:
+        for path in [p for p in _MADE if p not in before]:
+            remove_path(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, whatever executor is lost."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def release(table: DataFrame) -> None:
+    """Removes a table that materialise() made and that nothing reads any more."""
+    remove_path(table.scratch_path)
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression: names may hold dots and back ticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as a struct, so that no helper's name can clash with theirs; "row.*" gives them back."""
+    return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row")
 
 
 def worker_cache(operator: str, name: str, make):

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-CLASHING = "fingerprint string, sketch string, next_text string, edited string, fp string, node string, component_id string, score string, lang_pred string, spans string, shard string, pretoken string, x string, start string, length string, host string, rule string, kept_ string, g string, `offset` string"
+CLASHING = "__text string, __m string, __h string, __lang string, __new string, row string, `a.b` string, lang_ string, fingerprint string, sketch string, next_text string, edited string, fp string, node string, component_id string, score string, lang_pred string, spans string, shard string, pretoken string, x string, start string, length string, host string, rule string, kept_ string, g string, `offset` string"
 
 
 def texts() -> list:
