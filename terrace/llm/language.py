@@ -3,15 +3,18 @@
 Letters are lower-cased, everything between them is one blank; n-grams of 1 to 3 letters and blanks are
 hashed to DIMENSIONS; a document's vector is (1 + ln tf) * idf, of length 1.  Document frequencies are
 counted over all training documents; the weights are trained on a bounded sample of labelled ones
-(about PER_LANGUAGE documents a language, TRAINING in all, dealt by a hash of the id) by
-follow-the-regularised-leader with elastic-net penalties, which leaves most weights zero; a temperature
-is then fitted on a part of the sample that trained nothing.
+(about PER_LANGUAGE documents a language, TRAINING in all, those whose 63-bit hash of id and text is least)
+by follow-the-regularised-leader with elastic-net penalties, which leaves most weights zero; a temperature
+is then fitted on a part of the sample that trained nothing.  The LANGUAGES labels with most training
+documents are learned (by name where as many), so that a column with dirt in it can't swell the model.
 
 Defined results: a text that is null or has no letter is `und` with score 1; without any labelled
-training document everything is `und` with score 0; with one language everything else is that one.
+training document everything is `und` with score 0; with one language everything else is that one.  A
+label beyond LANGUAGES, or whose sampled documents have no letter, is never predicted.
 Training documents are those whose crc32(doc_id as text) mod 4 is not 2 (a null id is none); a null
-lang teaches document frequencies only.  Repeated rows count each time; an empty table gives no rows;
-columns other than doc_id, text and lang are not read.
+lang teaches document frequencies only.  Repeated rows count in these each time and are in the sample once;
+an empty table gives no rows; columns other than doc_id, text and lang are not read, and predict() keeps
+them in row whatever their names.
 """
 
 from __future__ import annotations
@@ -22,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from terrace.llm.common import crc_mod, materialise, ship, table, worker_cache
+from terrace.llm.common import crc_mod, materialise, quoted, ship, table, worker_cache
 
 FOLDS, HELD_OUT = 4, 2
 DIMENSIONS = 1 << 15
 #: Bounds of the labelled sample: documents a language, and in all.
 PER_LANGUAGE, TRAINING = 800, 8000
+#: Labels that are learned, at most.
+LANGUAGES = 256
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.5, 0.5
 UNKNOWN = "und"
@@ -123,17 +129,26 @@ def train(model: Model, sample: list[tuple[int, np.ndarray, np.ndarray]]) -> Non
     model.temperature = min(losses, key=losses.get)
 
 
+#: The hashes by which documents are sampled are from 0 to this.
+HASHES = (1 << 63) - 1
+
+
+def sample_bar(n: int, languages: int) -> int:
+    """The greatest hash with which a document of a language with n documents is in the sample, whatever n is."""
+    each = min(PER_LANGUAGE, max(1, TRAINING // max(1, languages)))
+    return HASHES if n <= each else HASHES * each // n
+
+
 def fit(docs: DataFrame) -> Model:
     """docs: doc_id, text and lang of the training documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = {lang: n for lang, n in rows.where("lang is not null").groupBy("lang").count().collect()}  # a row a language
-    languages = sorted(found)
-    each = min(PER_LANGUAGE, max(1, TRAINING // max(1, len(languages))))
-    share = F.lit(0)
-    for lang, n in found.items():
-        share = F.when(F.col("lang") == lang, min(1 << 20, (each << 20) // n)).otherwise(share)
+    sizes = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    found = {lang: n for lang, n in sizes.collect()}  # LANGUAGES rows at most
+    bars = [(lang, sample_bar(n, len(found))) for lang, n in found.items()]
+    share = F.broadcast(docs.sparkSession.createDataFrame(bars, "lang_ string, bar long"))
     key = F.xxhash64("doc_id", "text")
-    dealt = rows.select("text", "lang", key.alias("key"), (F.coalesce(F.pmod(key, F.lit(1 << 20)) < share, F.lit(False))).alias("taken"))
+    taken = F.coalesce(key.bitwiseAND(F.lit(HASHES)) <= F.col("bar"), F.lit(False))
+    dealt = rows.join(share, F.col("lang") == F.col("lang_"), "left").select("text", "lang", key.alias("key"), taken.alias("taken"))
     schema = "lang string, key long, at array<int>, n array<int>, vector binary"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,11 +179,12 @@ def fit(docs: DataFrame) -> Model:
     df = tasks.select(F.explode(F.arrays_zip("at", "n")).alias("x")).groupBy("x.at").agg(F.sum("x.n").alias("n")).toPandas()
     idf = np.zeros(DIMENSIONS)
     idf[df["at"].to_numpy(int)] = df["n"].to_numpy(float)
+    sample = sorted(seen.where("lang is not null").select("lang", "key", "vector").dropDuplicates(["lang", "key"]).collect(), key=lambda r: (r["key"], r["lang"], r["vector"]))
+    languages = sorted({r["lang"] for r in sample})
     model = Model(languages, np.log((1 + total) / (1 + idf)) + 1)
-    sample = sorted(seen.where("lang is not null").select("lang", "key", "vector").collect(), key=lambda r: (r["key"], r["lang"], r["vector"]))
-    if languages and sample:
+    if languages:
         train(model, [(languages.index(r["lang"]), *np.frombuffer(r["vector"], "<i4").reshape(2, -1)) for r in sample])
-    return model if sample else Model([], np.zeros(DIMENSIONS))
+    return model
 
 
 def training_part(docs: DataFrame) -> DataFrame:
@@ -176,26 +192,26 @@ def training_part(docs: DataFrame) -> DataFrame:
     return docs.where((fold != HELD_OUT) & (fold >= 0)).select("doc_id", "text", "lang")
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str], put: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs' columns with the predicted language and its score, named by put; of a row only its text is looked at."""
+def predict(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
+    """row (a struct of the given columns of docs, all if none are), lang_pred and score; of a row only its text is looked at."""
     sent = ship(docs.sparkSession, model)
-    rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
-    names = [*columns, *put]
+    columns = docs.columns if columns is None else columns
+    rows = docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = StructType([rows.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent()
         for batch in batches:
-            found = [model.predict(t.as_py()) for t in batch.column(len(columns))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=names)
+            found = [model.predict(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=schema.names)
 
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
-    return rows.mapInArrow(run, f"{kinds}, `{put[0]}` string, `{put[1]}` double")
+    return rows.mapInArrow(run, schema)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs, fit(training_part(docs)), ["doc_id"])
-    return found.select("doc_id", (crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("row.doc_id", (crc_mod("row.doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op6_language": op6_language}
