@@ -16,13 +16,16 @@ SURE = 0.3
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has no letter, or is of no learned language, go."""
-    found = language.predict(docs, language.fit(language.training_part(docs)), docs.columns, ("__lang", "__sure"))
-    return found.where((found["__lang"] != language.UNKNOWN) & (found["__sure"] >= SURE)).select(docs.columns)
+    """Documents whose text has no letter, or is of no learned language, go; all stay where no language can be learned."""
+    model = language.fit(language.training_part(docs))
+    if not model.languages:
+        return docs
+    found = language.predict(docs, model)
+    return found.where((found["lang_pred"] != language.UNKNOWN) & (found["score"] >= SURE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts alike by 0.8 in 5-word shingles stays."""
+    """One document of each component of texts alike by 0.8 in 5-word shingles stays: SimHash links, and the pairs beyond its radius."""
     return near.first_of_each(docs)
 
 
