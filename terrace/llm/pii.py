@@ -2,27 +2,33 @@ r"""Personal data by regular expressions, checksums and context (operator 4), Da
 
 Expressions propose spans, kind by kind, leftmost and non-overlapping; validators confirm them (octets,
 Luhn, digit counts, mod-97); words within CONTEXT code points adjust the score.  The base kinds (email,
-ip, card, phone) are kept once confirmed, whatever their score; the method's own kinds (iban, ssn and
-phone numbers without a country code) are kept from THRESHOLD on, unless they overlap a base span.
+ip, card, phone) are kept once confirmed, whatever their score, so theirs is only taken when asked for; the
+method's own kinds (iban, ssn and phone numbers without a country code) are kept from THRESHOLD on, unless
+they overlap a base span.
 
 The expressions below match what their plain forms match (``[A-Za-z0-9._%+-]+@...`` and so on) but are
 possessive, and begin only where a run of their first class begins or the last match ended, so a long
 run is walked once and not from each of its characters.
 
-Places come from the text between matches: the lengths of the pieces that split() leaves and of the
-matches, summed up in two levels so that a text with very many matches isn't quadratic.
+Texts may be long and hold very many matches, so nothing is looked for from a text's beginning once a match.
+Places come from the lengths of matches and of what split() leaves between them, by scan(); what stands at
+a place is taken from the text's CHUNK that it lies in; overlaps and replacements are scans over sorted
+spans.  A scan over n items copies references n * sqrt(n) times and is otherwise linear.
 
 Defined results: a null text is an empty one and has no spans; rows with a null or repeated doc_id are
 handled like any other row; an empty table gives no rows; columns other than doc_id and text are not
-read by detect() and are kept by redact().
+read by detect() and are kept by redact(), whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import table
+from terrace.llm.common import quoted, table
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: kind -> expression; the order is that of spans with one start.
@@ -60,7 +66,10 @@ SCORES = {
 CONTEXT = 40
 CONTEXT_WEIGHT = 0.3
 THRESHOLD = 0.5
-_STEP = 256
+#: Code points in a chunk, as a power of two; items in a block of a scan, at least.
+CHUNK = 10
+BLOCK = 64
+SPAN = "struct<start:int,k:int,end:int,kind:string,score:double>"
 
 
 def digits(match: Column, others: str) -> Column:
@@ -89,12 +98,49 @@ def mod97(code: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add) == 1
 
 
-def confirmed(kind: str, match: Column, text: Column, start: Column, end: Column) -> Column:
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The states (of SQL type kind) that step gives from one to the next of items, of which there is one at least.
+
+    Appending to an array copies it, so states are gathered in blocks of about sqrt(n).
+    """
+    n = F.size(items)
+    w = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / w).cast("int")), lambda b: F.slice(items, b * w + 1, w))
+    grown = lambda done, state, more: F.struct(state.alias("state"), F.concat(done["all"], F.array(more)).alias("all"))
+    start = lambda state, of: F.struct(state.alias("state"), F.array().cast(f"array<{of}>").alias("all"))
+
+    def inner(done: Column, x: Column) -> Column:
+        return let(step(done["state"], x), lambda state: grown(done, state, state))
+
+    def outer(done: Column, block: Column) -> Column:
+        return let(F.aggregate(block, start(done["state"], kind), inner), lambda own: grown(done, own["state"], own["all"]))
+
+    return F.flatten(F.aggregate(blocks, start(zero, f"array<{kind}>"), outer)["all"])
+
+
+def chunks_of(text: Column) -> Column:
+    return F.when(F.length(text) <= 1 << CHUNK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << CHUNK}}}"), F.lit(0)))
+
+
+def piece(chunks: Column, start: Column, end: Column) -> Column:
+    """The text from start to end (code points), of which it may have fewer."""
+    a, b, last = F.shiftright(start, CHUNK), F.shiftright(end, CHUNK), (1 << CHUNK) - 1
+    first = F.substring(F.get(chunks, a), start.bitwiseAND(last) + 1, F.when(a == b, end - start).otherwise(1 << CHUNK))
+    rest = F.concat(F.array_join(F.slice(chunks, a + 2, b - a - 1), ""), F.coalesce(F.substring(F.get(chunks, b), F.lit(1), end.bitwiseAND(last)), F.lit("")))
+    return F.when(end <= start, "").when(a == b, F.coalesce(first, F.lit(""))).otherwise(F.concat(F.coalesce(first, F.lit("")), rest))
+
+
+def confirmed(kind: str, span: Column, chunks: Column) -> Column:
     if kind in OWN:
         before, behind = APART[kind]
-        apart = ~F.when(start > 0, F.substring(text, start, F.lit(1))).otherwise("").rlike(before) & ~F.substring(text, end + 1, F.lit(1)).rlike(behind)
-        return apart & valid(kind, match)
-    return valid(kind, match)
+        apart = ~F.when(span["start"] > 0, piece(chunks, span["start"] - 1, span["start"])).otherwise("").rlike(before) & ~piece(chunks, span["end"], span["end"] + 1).rlike(behind)
+        return valid(kind, span["match"]) & apart
+    return valid(kind, span["match"])
 
 
 def valid(kind: str, match: Column) -> Column:
@@ -111,99 +157,109 @@ def valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def longest_ibans(spans: Column, text: Column) -> Column:
+def longest_ibans(spans: Column, chunks: Column) -> Column:
     """Spans of IBAN_START, each with the longest of its forms that is valid, leftmost and non-overlapping.
 
     A word of capitals behind the last group looks like a group, so the longest form alone isn't enough.
     """
 
     def whole(s: Column) -> Column:
-        tail = F.substring(text, s["start"] + 1, F.lit(44))
-        forms = F.array(*(F.regexp_substr(tail, F.lit(form)) for form in IBAN_FORMS))
-        match = F.coalesce(F.get(F.filter(forms, lambda x: x.isNotNull() & valid("iban", x)), F.lit(0)), F.lit(""))
-        return F.struct(s["start"].alias("start"), s["k"].alias("k"), match.alias("match"))
+        def longest(tail: Column) -> Column:
+            forms = F.array(*(F.regexp_substr(tail, F.lit(form)) for form in IBAN_FORMS))
+            return F.coalesce(F.get(F.filter(forms, lambda x: x.isNotNull() & valid("iban", x)), F.lit(0)), F.lit(""))
 
-    def ended(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), s["k"].alias("k"), (s["start"] + F.length(s["match"])).alias("end"), s["match"].alias("match"))
+        match = let(piece(chunks, s["start"], s["start"] + 44), longest)
+        return let(match, lambda x: F.struct(s["start"].alias("start"), s["k"].alias("k"), (s["start"] + F.length(x)).alias("end"), x.alias("match")))
 
-    def add(done: Column, s: Column) -> Column:
-        free = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0)) <= s["start"]
-        return F.when(free & (s["match"] != ""), F.concat(done, F.array(s))).otherwise(done)
+    def step(done: Column, s: Column) -> Column:
+        free = (done["end"] <= s["start"]) & (s["match"] != "")
+        return F.struct(F.when(free, s["end"]).otherwise(done["end"]).alias("end"), free.alias("taken"))
+
+    def greedy(found: Column) -> Column:
+        states = scan(found, F.struct(F.lit(0).alias("end"), F.lit(False).alias("taken")), step, "struct<end:int,taken:boolean>")
+        marked = F.filter(F.zip_with(found, states, lambda s, state: F.struct(s.alias("s"), state["taken"].alias("taken"))), lambda x: x["taken"])
+        return F.transform(marked, lambda x: x["s"])
 
-    return F.aggregate(F.transform(F.transform(spans, whole), ended), F.array().cast("array<struct<start:int,k:int,end:int,match:string>>"), add)
+    return let(F.filter(F.transform(spans, whole), lambda s: s["match"] != ""), lambda found: F.when(F.size(found) > 0, greedy(found)).otherwise(found))
 
 
-def score(kind: str, text: Column, start: Column, end: Column) -> Column:
+def score(kind: str, chunks: Column, span: Column) -> Column:
     base, raising, lowering = SCORES[kind]
-    at = F.greatest(start - CONTEXT, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, at + 1, start - at), F.lit(" | "), F.substring(text, end + 1, F.lit(CONTEXT))))
-    up = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{raising})"), CONTEXT_WEIGHT).otherwise(0.0)
-    down = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{lowering})"), CONTEXT_WEIGHT).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(base) + up - down))
+    before = piece(chunks, F.greatest(span["start"] - CONTEXT, F.lit(0)), span["start"])
+    near = F.lower(F.concat(before, F.lit(" | "), piece(chunks, span["end"], span["end"] + CONTEXT)))
 
+    def adjusted(near: Column) -> Column:
+        up = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{raising})"), CONTEXT_WEIGHT).otherwise(0.0)
+        down = F.when(near.rlike(rf"(?:^|[^\p{{L}}])(?:{lowering})"), CONTEXT_WEIGHT).otherwise(0.0)
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(base) + up - down))
 
-def total(numbers: Column) -> Column:
-    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+    return let(near, adjusted)
 
 
-def with_matches(df: DataFrame, kind: str, pattern: str) -> DataFrame:
-    """df (with column __text) with column kind: its confirmed matches as structs of start, k, end, kind, score."""
-    text, none = F.col("__text"), F.array().cast("array<string>")
+def with_matches(df: DataFrame, kind: str, pattern: str, scored: bool) -> DataFrame:
+    """df (with columns text and chunks) with column kind: its confirmed matches as structs of type SPAN."""
+    text, chunks, none = F.col("text"), F.col("chunks"), F.array().cast("array<string>")
     searched = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if kind in NEEDS:
         searched = F.when(F.contains(text, F.lit(NEEDS[kind])), searched).otherwise(none)
-    some = F.size("__m") > 0
-    df = df.withColumn("__m", searched)
-    df = df.withColumn("__gaps", F.when(some, F.transform(F.split(text, pattern, -1), lambda x: F.length(x))))
-    df = df.withColumn("__steps", F.when(some, F.zip_with(F.slice("__gaps", F.lit(1), F.size("__m")), "__m", lambda g, m: g + F.length(m))))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__m") - 1) / _STEP).cast("int")), lambda b: total(F.slice("__steps", b * _STEP + 1, F.lit(_STEP))))
-    df = df.withColumn("__blocks", F.when(some, blocks))
-
-    def span(match: Column, i: Column) -> Column:
-        block = F.floor(i / _STEP).cast("int")
-        start = total(F.slice("__blocks", F.lit(1), block)) + total(F.slice("__steps", block * _STEP + 1, i % _STEP)) + F.get("__gaps", i)
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("k"), (start + F.length(match)).alias("end"), match.alias("match"))
-
-    spans = F.transform("__m", span)
+    some = F.size("m") > 0
+    df = df.withColumn("m", searched)
+    df = df.withColumn("gaps", F.when(some, F.transform(F.split(text, pattern, -1), lambda x: F.length(x))))
+    df = df.withColumn("steps", F.when(some, F.zip_with(F.slice("gaps", F.lit(1), F.size("m")), "m", lambda g, m: g + F.length(m))))
+    df = df.withColumn("ends", F.when(some, scan(F.col("steps"), F.lit(0), lambda at, n: at + n, "int")))
+    spans = F.zip_with("ends", "m", lambda end, m: F.struct((end - F.length(m)).alias("start"), F.lit(KINDS.index(kind)).alias("k"), end.alias("end"), m.alias("match")))
     if kind == "iban":
-        spans = longest_ibans(spans, text)
-    df = df.withColumn("__spans", F.when(some, F.filter(spans, lambda s: confirmed(kind, s["match"], text, s["start"], s["end"]))))
-    scored = F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind"), score(kind, text, s["start"], s["end"]).alias("score")))
-    kept = scored if kind in BASE else F.filter(scored, lambda s: s["score"] >= THRESHOLD)
-    empty = F.array().cast("array<struct<start:int,k:int,end:int,kind:string,score:double>>")
-    return df.withColumn(f"__{kind}", F.coalesce(kept, empty)).drop("__m", "__gaps", "__steps", "__blocks", "__spans")
-
-
-def detect(docs: DataFrame) -> DataFrame:
-    """docs with __base (spans of the base kinds) and __spans (all spans), by start and kind."""
-    df = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+        spans = longest_ibans(spans, chunks)
+    df = df.withColumn("found", F.when(some, F.filter(spans, lambda s: confirmed(kind, s, chunks))))
+    value = lambda s: score(kind, chunks, s) if scored else F.lit(None).cast("double")
+    rows = F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), F.lit(kind).alias("kind"), value(s).alias("score")))
+    kept = rows if kind in BASE else F.filter(rows, lambda s: s["score"] >= THRESHOLD)
+    return df.withColumn(kind, F.coalesce(kept, F.array().cast(f"array<{SPAN}>"))).drop("m", "gaps", "steps", "ends", "found")
+
+
+def apart_from_base(spans: Column) -> Column:
+    """Of sorted spans those of the base kinds, and the others that overlap none of these."""
+    is_base = lambda s: s["k"] < len(BASE)
+    before = scan(spans, F.lit(0), lambda end, s: F.when(is_base(s), F.greatest(end, s["end"])).otherwise(end), "int")
+    behind = F.reverse(scan(F.reverse(spans), F.lit(2**31 - 1), lambda start, s: F.when(is_base(s), F.least(start, s["start"])).otherwise(start), "int"))
+    free = F.zip_with(F.zip_with(spans, before, lambda s, e: F.struct(s.alias("s"), e.alias("e"))), behind, lambda x, b: F.struct(x["s"].alias("s"), (is_base(x["s"]) | (x["e"] <= x["s"]["start"]) & (b >= x["s"]["end"])).alias("free")))
+    return F.transform(F.filter(free, lambda x: x["free"]), lambda x: x["s"])
+
+
+def detect(docs: DataFrame, columns: list[str] | None = None, base_scores: bool = False) -> DataFrame:
+    """row (a struct of the given columns of docs, all if none are), text, chunks, a column of spans for each kind, base (those of the base kinds) and spans (all), by start and kind."""
+    columns = docs.columns if columns is None else columns
+    df = docs.select(F.struct(*(F.col(quoted(c)) for c in columns)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    df = df.withColumn("chunks", chunks_of(F.col("text")))
     for kind, pattern in (BASE | OWN | {"iban": IBAN_START}).items():
-        df = with_matches(df, kind, pattern)
-    df = df.withColumn("__base", F.sort_array(F.concat(*(F.col(f"__{k}") for k in BASE))))
-    free = F.filter(F.concat(*(F.col(f"__{k}") for k in OWN)), lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return df.withColumn("__spans", F.sort_array(F.concat("__base", free)))
+        df = with_matches(df, kind, pattern, base_scores or kind in OWN)
+    df = df.withColumn("base", F.sort_array(F.concat(*BASE))).withColumn("own", F.concat(*OWN))
+    both = let(F.sort_array(F.concat("base", "own")), apart_from_base)
+    df = df.withColumn("spans", F.when(F.size("own") == 0, F.col("base")).when(F.size("base") == 0, F.sort_array("own")).otherwise(both)).drop("own")
+    # a filter on what comes out isn't pushed below this node: it would repeat the expressions above in itself, kind in kind
+    return df.observe(f"texts_{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
 
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with each span replaced by its kind in angle brackets; n_chars follows."""
-    text = F.col("__text")
+    chunks = F.col("chunks")
 
     def step(done: Column, s: Column) -> Column:
-        new = s["start"] >= done["at"]
-        more = F.array(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(new, F.concat(done["parts"], more)).otherwise(done["parts"]).alias("parts"))
-
-    def finish(done: Column) -> Column:
-        return F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text)))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    found = F.size("__spans") > 0
-    changed = F.when(found, F.aggregate("__spans", start, step, finish)).otherwise(F.col("text"))
-    df = detect(docs).withColumn("__new", changed)
-    put = {"text": F.col("__new")}
+        new = F.concat(piece(chunks, done["at"], s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.when(s["start"] >= done["at"], new).otherwise("").alias("part"))
+
+    def finish(states: Column) -> Column:
+        last = F.element_at(states, -1)["at"]
+        return F.concat(F.array_join(F.transform(states, lambda x: x["part"]), ""), piece(chunks, last, F.length("text")))
+
+    found = F.size("spans") > 0
+    states = scan(F.col("spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("part")), step, "struct<at:int,part:string>")
+    df = detect(docs).withColumn("new", F.when(found, let(states, finish)))
+    own = lambda c: F.col("row").getField(c)
+    put = {"text": F.when(found, F.col("new")).otherwise(own("text"))}
     if "n_chars" in docs.columns:
-        put["n_chars"] = F.when(found, F.length("__new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return df.withColumns(put).select(*docs.columns)
+        put["n_chars"] = F.when(found, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(own("n_chars"))
+    return df.select(*(put.get(c, own(c)).alias(c) for c in docs.columns))
 
 
 def listed(spans: str) -> Column:
@@ -211,9 +267,9 @@ def listed(spans: str) -> Column:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(f"__{k}").cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(listed("__base"), 256).alias("base_sha256"), listed("__spans").alias("spans"))
+    found = detect(table(spark, sf_dir, "documents"), ["doc_id"])
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
+    return found.select("row.doc_id", *counts, F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
 #: The base expressions as the contract writes them, which SQL's linear-time engine needs no possessive form of.
