@@ -1,8 +1,9 @@
 """Packing by Karmarkar-Karp multiway differencing (operator 3).
 
 A document's ids are cut into whole windows and a rest; the rest is cut into near-equal pieces of at
-most PIECE ids.  Whole windows are sequences of their own.  The other pieces are dealt by hash into
-groups of about GROUP pieces, and each group is partitioned into windows: every piece starts as a
+most PIECE ids.  Whole windows are sequences of their own.  The pieces are dealt by a hash of what they are
+and of their place in the table of pieces, so that repeated rows are dealt out too, into groups of about
+GROUP pieces, and each group is partitioned into windows: every piece starts as a
 partial partition of its own, the two partial partitions with the largest spread are merged, the
 fullest window of one with the emptiest of the other, until one is left.  Its windows are near-equal;
 where one exceeds the capacity, the number of windows rises and the group is partitioned again.
@@ -32,6 +33,8 @@ END = np.array([1], "<u4")
 #: Longest piece of a document's rest, and pieces in a group.
 PIECE = 512
 GROUP = 2048
+#: No group is larger: 45 standard deviations above GROUP.
+MOST = 2 * GROUP
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -131,6 +134,8 @@ def cut_documents(path: str):
 
 def pack_group(group: pd.DataFrame) -> pd.DataFrame:
     """A group's pieces with sequence_id (the group's number above 32 bits, the window's below) and offset."""
+    if len(group) > MOST:
+        raise ValueError("a group of pieces is larger than any hash deals out")
     group = group.sort_values(["doc_id", "start", "ids_crc32", "doc_tokens"], ignore_index=True, na_position="first")
     size = group["length"].to_numpy()
     whole = np.flatnonzero(size == CAPACITY)
@@ -154,7 +159,8 @@ def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
     """
     pieces = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut_documents(path or default_path()), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     n = buckets(pieces.count(), GROUP)
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)))
+    place = F.monotonically_increasing_id()  # of a row in files that don't change: the same for a repeated task
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(n)))
     return dealt.groupBy("g").applyInPandas(pack_group, PACKED)
 
 

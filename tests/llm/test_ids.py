@@ -84,6 +84,15 @@ def test_packing(spark, docs, odd, empty, encode):
     assert packing.pack(empty).collect() == []
 
 
+def test_repeated_rows_are_dealt_out(spark, encode, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 64)
+    monkeypatch.setattr(packing, "MOST", 200)
+    rows = [(None, "")] * 3000 + [(7, "the same text")] * 500
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    check_packed(found, rows, encode)
+    assert max(sum(r["sequence_id"] >> 32 == g for r in found) for g in {r["sequence_id"] >> 32 for r in found}) <= 200
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_differencing(seed):
     r = np.random.default_rng(seed)
