@@ -7,10 +7,10 @@ parts overlap by SHINGLE - 1 words.  From sketches alone come resemblance, conta
 of distinct shingles.
 
 Defined results: a null text is an empty one; an empty text has an empty sketch; two empty sketches
-resemble each other by 1, an empty and another by 0; equal texts have equal sketches.  Rows with a
-null doc_id come first in the order of documents, repeated ids follow one another by their text's
-hash; a sole row's next document is itself; an empty table gives no rows.  Columns other than doc_id
-and text are not read.
+resemble each other by 1, an empty and another by 0; equal texts have equal sketches.  In the order of
+documents a null doc_id counts as the least number, and repeated ids follow one another by their text's
+hash (rows equal in id and text stand in any order, as they are the same); a sole row's next document
+is itself; an empty table gives no rows.  Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from terrace.llm.common import table
 
 SHINGLE = 5
 K = 128
-#: 2^BUCKET neighbouring ids are ordered together, 2^WIDE buckets in the next level.
-BUCKET = 6
-WIDE = 12
+#: Neighbouring rows that are ordered together, about; and keys of rows that bound such buckets, at most.
+BUCKET = 64
+SAMPLE = 400_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -76,30 +76,53 @@ def text_of(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+def bounds(keyed: DataFrame) -> list[tuple[int, int]]:
+    """The first keys (id, th) of buckets of about BUCKET rows each, or more where SAMPLE is too small for that.
+
+    They are keys that rows have, from a bounded sample by hash, the least of the sample left out: so no
+    bucket is empty, whatever the ids are.  The sample shapes the work only, never the result.
+    """
+    rows = keyed.count()
+    wanted = min(rows, 16 * rows // BUCKET + 16, SAMPLE // 2)
+    share = (1 << 30) * wanted // max(1, rows)
+    sample = keyed.select("id", "th").where(F.pmod(F.xxhash64("id", "th"), F.lit(1 << 30)) < share).distinct()
+    keys = sorted(map(tuple, sample.orderBy(F.xxhash64("th", "id")).limit(SAMPLE).collect()))
+    step = max(1, len(keys) * BUCKET // max(1, rows), 4 if rows > SAMPLE else 1)
+    return keys[step::step]
+
+
+def bucket_of(firsts: list[tuple[int, int]]) -> Column:
+    """How many of the keys aren't above the row's (id, th): a binary search in two constant arrays."""
+    if not firsts:
+        return F.lit(0)
+    ids, hashes = (F.split(F.lit(",".join(str(k[i]) for k in firsts)), ",").cast("array<bigint>") for i in (0, 1))
+    n = len(firsts)
+    steps = F.array(*(F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)))
+
+    def move(at: Column, step: Column) -> Column:
+        k = at + step - 1
+        i = F.get(ids, k)
+        return F.when((at + step <= n) & ((i < F.col("id")) | (i == F.col("id")) & (F.get(hashes, k) <= F.col("th"))), at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), move)
+
+
 def with_next(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], columns: list[str]) -> DataFrame:
     """enrich(docs)'s doc_id and columns with next_<column> of the next row by doc_id; the last row's is the first.
 
-    docs has doc_id and text; enrich works row by row.  Ids are ordered within buckets of 2^BUCKET
-    neighbouring ids, so no task sees more than one bucket at a time and the rows move once.  Only a
-    bucket's last row needs another bucket's first: these are picked before anything is computed or
-    moved, and the order of buckets comes from ids alone, in two levels.
+    docs has doc_id and text; enrich works row by row.  Rows are dealt once, into buckets of neighbours in
+    the order, which are as large for ids that lie far apart, repeat or are missing as for any others.
+    Only a bucket's last row needs another bucket's first, and as no bucket is empty that is the next one.
     """
     low = -(1 << 63)
-    dealt = docs.withColumn("__b", F.coalesce(F.shiftright("doc_id", BUCKET), F.lit(low >> BUCKET)))
-    w = Window.partitionBy("__b").orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    numbered = enrich(dealt).withColumns({"__last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{c}": F.lead(c).over(w) for c in columns})
-    firsts = enrich(dealt.withColumn("__n", F.row_number().over(w)).where("__n = 1")).select(F.col("__b").alias("__at"), *(F.col(c).alias(f"__{c}") for c in columns))
-
-    ids = docs.select(F.coalesce(F.shiftright("doc_id", BUCKET), F.lit(low >> BUCKET)).alias("__b")).distinct()
-    wide = ids.withColumn("__w", F.shiftright("__b", WIDE))
-    near = wide.withColumn("__next", F.lead("__b").over(Window.partitionBy("__w").orderBy("__b")))
-    heads = wide.groupBy("__w").agg(F.min("__b").alias("__head"))  # a row for 2^(BUCKET + WIDE) ids
-    far = heads.select(F.col("__w").alias("__v"), F.lead("__head").over(Window.orderBy("__w")).alias("__far"), F.min("__head").over(Window.partitionBy()).alias("__least"))
-    follow = near.join(far, F.col("__w") == F.col("__v")).select(F.col("__b").alias("__from"), F.coalesce("__next", "__far", "__least").alias("__to"))
-
-    patch = firsts.join(follow, F.col("__at") == F.col("__to")).select("__from", *(f"__{c}" for c in columns))
-    joined = numbered.join(patch, (F.col("__b") == F.col("__from")) & F.col("__last"), "left")
-    found = {f"next_{c}": F.when(F.col("__last"), F.col(f"__{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
+    keyed = docs.withColumns({"id": F.coalesce("doc_id", F.lit(low)), "th": F.xxhash64("text")})
+    firsts = bounds(keyed)
+    dealt = enrich(keyed.withColumn("b", bucket_of(firsts))).select("b", "id", "th", "doc_id", *columns)
+    w = Window.partitionBy("b").orderBy("id", "th")
+    numbered = dealt.withColumns({"first": F.lag(F.lit(1)).over(w).isNull(), "last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{c}": F.lead(c).over(w) for c in columns})
+    patch = numbered.where("first").select(F.pmod(F.col("b") - 1, F.lit(len(firsts) + 1)).alias("from"), *(F.col(c).alias(f"first_{c}") for c in columns))
+    joined = numbered.join(patch, (F.col("b") == F.col("from")) & F.col("last"), "left")
+    found = {f"next_{c}": F.when(F.col("last"), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
     return joined.withColumns(found).select("doc_id", *columns, *found)
 
 

@@ -80,6 +80,32 @@ def test_odd_rows(spark, odd, monkeypatch):
     assert fp.with_sketch(by_text, "text", "s").groupBy("text").agg(F.countDistinct("s").alias("n")).where("n > 1").count() == 0
 
 
+@pytest.mark.parametrize("spread", [1, 10**12])
+def test_ids_far_apart_in_bounded_buckets(spark, monkeypatch, spread):
+    """No window over all rows, no bucket much above the others, documents read at most twice besides a count."""
+    import random
+
+    r = random.Random(2)
+    ids = r.sample(range(-500, 500), 600)
+    rows = [(i * spread, " ".join(r.choice("abc") for _ in range(r.randint(0, 12)))) for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = query(spark, monkeypatch, df)
+    assert "SinglePartition" not in inspect.plan_text(found)
+    assert result(found) == brute(rows)
+
+
+def test_repeated_and_missing_ids_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BUCKET", 8)
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, f"more {i}") for i in range(300)] + [(i, "x") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = df.withColumns({"id": F.coalesce("doc_id", F.lit(-(1 << 63))), "th": F.xxhash64("text")})
+    firsts = fp.bounds(keyed)
+    sizes = keyed.groupBy(fp.bucket_of(firsts).alias("b")).count().collect()
+    assert len(sizes) == len(firsts) + 1 and max(r["count"] for r in sizes) <= 16
+    found = query(spark, monkeypatch, df).collect()
+    assert sorted(r["n_chars"] for r in found) == sorted(len(t) for _, t in rows)
+
+
 def test_empty_and_single(spark, empty, odd, monkeypatch):
     assert query(spark, monkeypatch, empty).collect() == []
     (row,) = query(spark, monkeypatch, odd.where("text = 'one two'")).collect()
