@@ -1,40 +1,45 @@
 """URL filters by Bloom filter cascades (operator 2).
 
 A rule is a key, host plus the beginning of a path; it fits its host and all subdomains.  A url's
-candidate keys are its host's suffixes with as many labels as some rule has, each with the path's
-beginnings as long as some rule's path, so their number is bounded by the rules and not by the url.
-For each list (block, allow) a cascade is built over the corpus's complete universe of candidate keys:
-level 1 encodes the listed keys; level 2 the keys of the universe that level 1 wrongly passes; level 3
-the listed keys that level 2 passes; and so on until no key is passed wrongly.  On that universe
-membership is exact, without a join.  Of a url's listed candidates the longest wins; a url without any
-gets the method's verdict for unlisted keys, allow.
-
-The filters are broadcast, so their size is bounded: above MAX_LISTED keys a list isn't encoded and
-the candidates are joined to it instead (an equi-join on the key, for any size).
+candidate keys are its host's suffixes and its path's beginnings in the numbers of labels and characters
+that some rule has, so their number is bounded by the rules' shapes and not by the url.
+
+Keys are dealt into shards by hash.  For each shard and list (block, allow) a cascade is built over the
+corpus's complete universe of candidate keys there: level 1 encodes the listed keys; level 2 the keys of
+the universe that level 1 wrongly passes; level 3 the listed keys that level 2 passes; and so on until no
+key is passed wrongly.  On that universe membership is exact, without a join of urls and lists.  A
+shard's task builds its cascades by itself, so lists and universe may have any size.  The cascades are
+written in blocks of bounded size; a worker holds one block at a time and judges a large slice of urls by
+each block in turn (one block that is all there is stays with it).  Of a url's listed candidates the
+longest wins; a url without any gets the method's verdict for unlisted keys, allow.
 
 Defined results: a null url, or one without ://, has an empty host and path and no rule; a rule listed
-both ways blocks; an empty list lists nothing; repeated pages are judged alike; an empty table gives no
-rows; columns other than page_id and url are not read.
+both ways blocks; of listed candidates of one length, which can't be one key, the greater by bytes wins;
+an empty list lists nothing; repeated pages are judged alike; an empty table gives no rows; columns other
+than page_id and url are not read.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from terrace.llm.common import ship, table
+from terrace.llm.common import buckets, materialise, scratch_path, table, worker_cache
 
 #: (verdict, host, path): the production rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 UNLISTED = "allow"
-#: Listed keys of a broadcast cascade (some 5 MB), and false positives of level 1 that come to the driver.
-MAX_LISTED = 1_000_000
-MAX_FALSE = 2_000_000
+#: Keys of the universe and the lists in a shard, about; listed keys whose cascades share a block; candidates judged together.
+SHARD_KEYS = 500_000
+BLOCK_KEYS = 1_000_000
+SLICE = 2_000_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,13 +51,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(rest, "^([^/?#]*)", 1), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*(/[^?#]*)", 1)
 
 
-def candidates(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
-    """Keys by falling length."""
+def candidates(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Keys by falling length, for the (labels, length of path) that rules have."""
     parts = F.split(host, r"\.")
     keys = [
         F.when((host != "") & (F.size(parts) >= n) & (F.length(path) >= m), F.concat(F.array_join(F.slice(parts, -n, n), "."), F.substring(path, 1, m)))
-        for n in labels
-        for m in lengths
+        for n, m in shapes
     ]
     if not keys:
         return F.array().cast("array<string>")
@@ -73,6 +77,12 @@ class Bloom:
         for at in self._places(h1, h2):
             np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
 
+    @classmethod
+    def of(cls, level: int, k: int, bits: bytes) -> Bloom:
+        out = cls.__new__(cls)
+        out.level, out.k, out.bits = level, k, np.frombuffer(bits, np.uint8)
+        return out
+
     def _places(self, h1: np.ndarray, h2: np.ndarray) -> Iterator[np.ndarray]:
         m = np.uint64(8 * len(self.bits))
         a, b = h1.view(np.uint64), h2.view(np.uint64)
@@ -104,83 +114,133 @@ class Cascade:
         return out
 
 
-def build_cascade(listed: np.ndarray, universe: DataFrame, n_universe: int) -> Cascade:
-    """listed: rows of two hashes; universe: columns h1, h2 of the corpus's distinct keys, n_universe at most about.
+def build_cascade(listed: np.ndarray, others: np.ndarray) -> Cascade:
+    """listed, others: rows of two hashes; others are the universe's keys that aren't listed.
 
-    Level 1 is so sharp that the universe's false positives are expected to be fewer than the listed keys.
+    Level 1 is so sharp that fewer of the others are expected to pass than there are listed keys.
     """
-    rate = min(0.5, max(1, len(listed)) / max(1, n_universe))
-    first = Bloom(listed[:, 0], listed[:, 1], rate, 1)
-
-    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(first.has(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
-
-    found = universe.mapInArrow(passed, "h1 long, h2 long").distinct().limit(len(listed) + MAX_FALSE + 1).toPandas().to_numpy(np.int64).reshape(-1, 2)
-    if len(found) > len(listed) + MAX_FALSE:
-        raise ValueError("level 1 passes too many keys for a driver")
-    own = {tuple(x) for x in listed.tolist()}
-    wrong = np.array([x for x in found.tolist() if tuple(x) not in own], np.int64).reshape(-1, 2)
-    levels, right = [first], listed
+    if not len(listed):
+        return Cascade([])
+    levels = [Bloom(listed[:, 0], listed[:, 1], min(0.5, len(listed) / max(1, len(others))), 1)]
+    wrong, right = others[levels[0].has(others[:, 0], others[:, 1])], listed
     while len(wrong):  # level 2, 4, ... encode wrong ones and test right ones; 3, 5, ... the other way
         levels.append(Bloom(wrong[:, 0], wrong[:, 1], 0.5, len(levels) + 1))
         wrong, right = right[levels[-1].has(right[:, 0], right[:, 1])], wrong
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, max_listed: int = MAX_LISTED) -> DataFrame:
+def build_shard(blocks: int):
+    """A shard's rows (shard, h1, h2, verdict: 1 blocks, 0 allows, null for the universe) -> its two cascades in a row."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        keys = np.stack([rows.column(c).to_numpy() for c in ("h1", "h2")], axis=1)
+        verdict = rows.column("verdict").fill_null(-1).to_numpy()
+        found: dict[str, Cascade] = {}
+        known = {tuple(k) for k in keys[verdict >= 0].tolist()}
+        free = keys[verdict < 0]
+        free = free[np.fromiter((tuple(k) not in known for k in free.tolist()), bool, len(free))] if known else free
+        for name, v in (("block", 1), ("allow", 0)):
+            own = keys[verdict == v]
+            found[name] = build_cascade(own, np.concatenate([free, keys[verdict == 1 - v]]))
+        plain = {name: [(x.level, x.k, x.bits.tobytes()) for x in c.levels] for name, c in found.items()}
+        shard = rows.column("shard")[0].as_py()
+        return pa.table({"block": pa.array([shard % blocks], pa.int64()), "shard": pa.array([shard], pa.int64()), "cascades": pa.array([pickle.dumps(plain)], pa.binary())})
+
+    return run
+
+
+def load_block(path: str, block: int) -> dict[int, dict[str, Cascade]]:
+    """shard -> its cascades, of one block of the table that write_cascades() wrote."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
+    found = [x for x in system.get_file_info(fs.FileSelector(f"{name}/block={block}", allow_not_found=True)) if x.path.endswith(".parquet")]
+    out = {}
+    for x in found:
+        for shard, packed in zip(*(c.to_pylist() for c in pq.ParquetFile(system.open_input_file(x.path)).read(columns=["shard", "cascades"]).columns), strict=True):
+            out[shard] = {verdict: Cascade([Bloom.of(*level) for level in levels]) for verdict, levels in pickle.loads(packed).items()}
+    return out
+
+
+def write_cascades(listed: DataFrame, universe: DataFrame) -> tuple[str, int, int]:
+    """listed: key, verdict; universe: key, distinct.  The table's path, and how many shards and blocks it has."""
+    spark = listed.sparkSession
+    n = listed.count()
+    shards, blocks = buckets(n + universe.count(), SHARD_KEYS), buckets(n, BLOCK_KEYS)
+    hashed = lambda df, verdict: df.select(*(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)), verdict.cast("byte").alias("verdict"))
+    rows = hashed(listed, (F.col("verdict") == "block").cast("int")).union(hashed(universe, F.lit(None)))
+    rows = rows.select(shard_of(F.col("h2"), shards).alias("shard"), "h1", "h2", "verdict")
+    path = scratch_path(spark, "cascades")
+    built = rows.groupBy("shard").applyInArrow(build_shard(blocks), "block long, shard long, cascades binary")
+    built.repartition(blocks, "block").write.partitionBy("block").parquet(path)
+    return path, shards, blocks
+
+
+def shard_of(h2: Column, shards: int) -> Column:
+    return F.pmod(F.shiftright(h2, 7), F.lit(shards).cast("long"))
+
+
+def as_rules(spark: SparkSession, rules: list[tuple[str, str, str]] | DataFrame) -> DataFrame:
+    """(verdict, host, path) rows; a table of them may have any size."""
+    return rules if isinstance(rules, DataFrame) else spark.createDataFrame(rules, "verdict string, host string, path string")
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page."""
     spark = pages.sparkSession
+    rules = as_rules(spark, rules)
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."))) + 1
+    shapes = sorted(map(tuple, rules.select(labels, F.length("path")).distinct().collect()))  # a few hundred for any list
+    listed = materialise(rules.groupBy(F.concat("host", "path").alias("key")).agg(F.max("verdict").alias("verdict")), "listed")
     host, path = host_and_path(F.col("url").cast("string"))
-    labels, lengths = sorted({r[1].count(".") + 1 for r in rules}), sorted({len(r[2]) for r in rules})
     parsed = pages.select(F.col("page_id"), host.alias("host"), path.alias("path"))
-    parsed = parsed.withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
-    if len(rules) > max_listed:
-        return _by_join(spark, parsed, rules)
-    lists = {v: sorted({h + p for verdict, h, p in rules if verdict == v}) for v in ("block", "allow")}
-    universe = parsed.select(F.explode(F.array_distinct("keys")).alias("key")).distinct().select(*(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)))
-    n = universe.select(F.approx_count_distinct("h1")).first()[0]
-    cascades = {}
-    for verdict, keys in lists.items():
-        own = spark.createDataFrame([(k,) for k in keys], "key string").select(*hashes(F.col("key"))).toPandas().to_numpy(np.int64).reshape(-1, 2) if keys else np.zeros((0, 2), np.int64)
-        cascades[verdict] = build_cascade(own, universe, n) if keys else Cascade([])
-    sent = ship(spark, cascades)
+    parsed = materialise(parsed.withColumn("keys", candidates(F.col("host"), F.col("path"), shapes)), "candidates")
+    universe = materialise(parsed.select(F.explode("keys").alias("key")).distinct(), "universe")
+    folder, shards, blocks = write_cascades(listed, universe)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds at: 1 + the place of the first listed key, negative if it blocks, 0 if none is listed."""
-        cascades = sent()
-        for batch in batches:
-            one, two = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            size = pa.compute.list_value_length(one).to_numpy(zero_copy_only=False).astype(np.int64)
-            h1, h2 = one.flatten().to_numpy(), two.flatten().to_numpy()
-            blocked = cascades["block"].has(h1, h2)
-            hit = np.flatnonzero(blocked | cascades["allow"].has(h1, h2))
+        for batch in slices(batches):
+            h1, h2 = (batch.column(c).combine_chunks().flatten().to_numpy() for c in ("h1", "h2"))
+            size = pa.compute.list_value_length(batch.column("h1")).to_numpy().astype(np.int64)
+            shard = (h2 >> 7) % shards
+            blocked, allowed = np.zeros(len(h1), bool), np.zeros(len(h1), bool)
+            for block in range(blocks):
+                own = worker_cache("urlfilter", f"{folder}:{block}", lambda b=block: load_block(folder, b)) if blocks == 1 else load_block(folder, block)
+                there = np.flatnonzero(shard % blocks == block) if blocks > 1 else np.arange(len(h1))
+                by = there[np.argsort(shard[there], kind="stable")]
+                edges = np.flatnonzero(np.diff(shard[by], prepend=-1, append=-1))
+                for a, b in zip(edges, edges[1:], strict=False):
+                    at, lists = by[a:b], own.get(int(shard[by[a]]))
+                    if lists:
+                        blocked[at], allowed[at] = lists["block"].has(h1[at], h2[at]), lists["allow"].has(h1[at], h2[at])
+            hit = np.flatnonzero(blocked | allowed)
             row = np.repeat(np.arange(len(size)), size)[hit]
             rows, first = np.unique(row, return_index=True)
             at = np.zeros(len(size), np.int32)
             place = hit[first] - (np.cumsum(size) - size)[rows] + 1
             at[rows] = np.where(blocked[hit[first]], -place, place)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(at)], names=[*batch.schema.names[:-2], "at"])
+            yield from batch.drop_columns(["h1", "h2"]).append_column("at", pa.array(at)).to_batches()
 
     h1, h2 = F.transform("keys", lambda k: hashes(k)[0]), F.transform("keys", lambda k: hashes(k)[1])
-    kept = parsed.select("page_id", "host", "path", "keys")
-    judged = kept.select("*", h1.alias("h1"), h2.alias("h2")).mapInArrow(best, _ddl(kept) + ", at int")
+    judged = parsed.select("*", h1.alias("h1"), h2.alias("h2")).mapInArrow(best, StructType([*parsed.schema.fields, StructField("at", IntegerType())]))
     rule = F.when(F.col("at") != 0, F.element_at("keys", F.abs("at")))
     verdict = F.when(F.col("at") < 0, "block").when(F.col("at") > 0, "allow").otherwise(UNLISTED)
     return judged.select("page_id", "host", "path", F.when(F.col("at") != 0, rule).alias("rule"), verdict.alias("verdict"))
 
 
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-
-
-def _by_join(spark: SparkSession, parsed: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
-    """The same verdicts for lists of any size."""
-    listed = spark.createDataFrame([(h + p, v) for v, h, p in rules], "rule string, verdict string").groupBy("rule").agg(F.max("verdict").alias("verdict"))
-    numbered = parsed.withColumn("n", F.monotonically_increasing_id())
-    hit = numbered.select("n", F.posexplode("keys").alias("at", "key")).join(listed, F.col("key") == F.col("rule")).groupBy("n").agg(F.min_by(F.struct("rule", "verdict"), "at").alias("best")).withColumnRenamed("n", "n_")
-    out = numbered.join(hit, F.col("n") == F.col("n_"), "left")
-    return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(UNLISTED)).alias("verdict"))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in tables of about SLICE candidate keys."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("h1").flatten())
+        if size >= SLICE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,17 +28,20 @@ URLS = [
 ]
 
 
-def query(spark, pages, rules=urlfilter.RULES, **kw):
-    found = urlfilter.judge(pages, rules, **kw)
+def query(spark, pages, rules=urlfilter.RULES):
+    found = urlfilter.judge(pages, rules)
     return sorted((tuple(r[c] for c in ("page_id", "host", "path", "rule", "verdict")) for r in found.collect()), key=repr)
 
 
-@pytest.mark.parametrize("most", [urlfilter.MAX_LISTED, 0])
-def test_urls(spark, most):
+@pytest.mark.parametrize("sizes", [None, (7, 2, 5)])
+def test_urls(spark, monkeypatch, sizes):
+    """Also with several shards, blocks and slices."""
+    for name, n in zip(("SHARD_KEYS", "BLOCK_KEYS", "SLICE"), sizes or (), strict=False):
+        monkeypatch.setattr(urlfilter, name, n)
     pages = spark.createDataFrame([(i, u, "clash", "clash") for i, u in enumerate(URLS)] + [(None, URLS[4], None, None), (3, URLS[4], "c", "c")], "page_id long, url string, host string, keys string")
     expected = sorted(((r["page_id"], *plain(r["url"], urlfilter.RULES)) for r in pages.collect()), key=repr)
-    assert query(spark, pages, max_listed=most) == expected
-    assert query(spark, pages.limit(0), max_listed=most) == []
+    assert query(spark, pages) == expected
+    assert query(spark, pages.limit(0)) == []
     assert {r[-1] for r in query(spark, pages, [])} == {"allow"}
 
 
@@ -63,10 +66,24 @@ def test_many_rules(spark):
         assert rule is None or (verdict, rule) in {(v, a + b) for v, a, b in rules}
 
 
-def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
-    keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (20_000, 2))
-    listed = keys[:300]
-    universe = spark.createDataFrame([tuple(map(int, k)) for k in keys], "h1 long, h2 long")
-    cascade = urlfilter.build_cascade(listed, universe, 1000)  # a low estimate: level 1 passes many others
+def test_cascade_is_exact_on_its_universe():
+    keys = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, (200_000, 2))
+    cascade = urlfilter.build_cascade(keys[:3000], keys[3000:])
     assert len(cascade.levels) > 2
-    assert cascade.has(keys[:, 0], keys[:, 1]).tolist() == [i < 300 for i in range(20_000)]
+    assert cascade.has(keys[:, 0], keys[:, 1]).tolist() == [i < 3000 for i in range(200_000)]
+
+
+def test_two_million_rules(spark):
+    """A table of rules that one block doesn't hold."""
+    n = 2_000_000
+    rules = spark.range(n).selectExpr("CASE WHEN id % 3 = 0 THEN 'block' ELSE 'allow' END AS verdict", "concat('h', id, '.org') AS host", "CASE WHEN id % 2 = 0 THEN '/' ELSE '/en/' END AS path")
+    pages = [(i, f"http://www.h{i * 40_009 % (2 * n)}.org/{'en/' if i % 5 else 'x'}") for i in range(3000)]
+    got = query(spark, spark.createDataFrame(pages, "page_id long, url string"), rules)
+    want = []
+    for i, u in pages:
+        k = i * 40_009 % (2 * n)
+        path = "/en/" if i % 5 else "/x"
+        rule = f"h{k}.org/" + ("" if k % 2 == 0 else "en/")
+        listed = k < n and (k % 2 == 0 or path == "/en/")
+        want.append((i, f"www.h{k}.org", path, rule if listed else None, ("block" if k % 3 == 0 else "allow") if listed else "allow"))
+    assert got == sorted(want, key=repr)
