@@ -96,6 +96,34 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row")
 
 
+def write_blocks(df: DataFrame, name: str, blocks: int) -> str:
+    """df, whose column block is from 0 to blocks - 1, as a table in the shared folder that workers read a block at a time."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(max(1, blocks), "block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def file_system(uri: str):
+    """pyarrow's file system of a path as Spark writes it, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file:" + uri if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
+
+
+def read_block(path: str, block: int, columns: list[str]) -> list[tuple]:
+    """On a worker: the rows of one block of a table that write_blocks() wrote."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    system, name = file_system(path)
+    rows: list[tuple] = []
+    for x in system.get_file_info(fs.FileSelector(f"{name}/block={block}", allow_not_found=True)):
+        if x.path.endswith(".parquet"):
+            with system.open_input_file(x.path) as stream:
+                rows += zip(*(c.to_pylist() for c in pq.ParquetFile(stream).read(columns=columns).select(columns).columns), strict=True)
+    return rows
+
+
 def worker_cache(operator: str, name: str, make):
     """make() once per Python worker, kept from task to task while the worker runs the same operator.
 

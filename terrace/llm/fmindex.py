@@ -12,13 +12,12 @@ removal spans.
 Defined results: a null or empty text has no words and no hit; an item without words has no window; a
 shorter item than a window is one window; repeated items each count; an empty benchmark hits nothing;
 rows with a null or repeated doc_id are handled like any other row.  A null item_id counts in n_items
-and is left out of the list of ids.  Columns other than doc_id, text and item_id are not read.
+and is left out of the list of ids.  Columns other than doc_id, text and item_id are not read, and clean()
+keeps them whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-import pickle
 import re
 from collections.abc import Iterator
 
@@ -27,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import table, worker_cache
+from terrace.llm.common import buckets, materialise, read_block, table, worker_cache, write_blocks
 
 WINDOW = 10
 SHARD_WORDS = 500_000
 SAMPLE = 8
-#: Benchmark words in a block: the benchmark is searched block by block, so a worker holds one block.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words in a block (some 40 MB while it is made), and shards that a block is searched in.
+BLOCK_WORDS = 200_000
+HELD = 8
 
 #: Bytes that belong to no word become blanks, A-Z their lower case.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -44,13 +44,13 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def phrases_of(items: list[tuple], window: int = WINDOW) -> tuple[dict[bytes, int], list[tuple[int, ...]], list[list]]:
-    """Of (item_id, text): word -> number from 1, the distinct windows, and the items of each (by their place)."""
+    """Of (place, item_id, text): word -> number from 1, the distinct windows, and the (place, item_id) of each."""
     numbers: dict[bytes, int] = {}
-    found: dict[tuple[int, ...], list[int]] = {}
-    for place, (_, text) in enumerate(items):
+    found: dict[tuple[int, ...], list[tuple]] = {}
+    for place, item, text in items:
         own = [numbers.setdefault(w, len(numbers) + 1) for w in words_of(text)]
         for phrase in {tuple(own[i : i + window]) for i in range(max(1, len(own) - window + 1))} if own else ():
-            found.setdefault(phrase, []).append(place)
+            found.setdefault(phrase, []).append((place, item))
     return numbers, list(found), list(found.values())
 
 
@@ -199,7 +199,6 @@ class Block:
     """A block of the benchmark, ready to be searched for in shards."""
 
     def __init__(self, items: list[tuple], window: int):
-        self.ids = [x[0] for x in items]
         numbers, phrases, self.items = phrases_of(items, window)
         self.words = list(numbers)
         self.sizes = np.array([len(p) for p in phrases], np.int64)
@@ -255,26 +254,34 @@ def parts_of(docs: list[list[bytes]], size: int, overlap: int) -> Iterator[list[
         yield shard
 
 
-def scan(texts: list[str | None], blocks: list[Block], size: int) -> list[tuple[int, list[tuple[int, int]], list]]:
+def scan(texts: list[str | None], blocks: Benchmark, size: int) -> list[tuple[int, list[tuple[int, int]], list]]:
     """Of texts: number of words, merged spans of words, and the items found."""
     docs = [words_of(t) for t in texts]
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     items: list[set] = [set() for _ in docs]
-    searched = [b for b in blocks if b.words]
-    for parts in parts_of(docs, size, max(b.phrases.shape[1] for b in searched) - 1) if searched else ():
-        if not any(words for _, _, words in parts):
-            continue
-        sizes = np.array([len(words) + 1 for _, _, words in parts], np.int64)
-        begin = np.cumsum(sizes) - sizes
-        shard = Shard([words for _, _, words in parts])
-        for k, block in enumerate(searched):
-            place, length, phrase = shard.occurrences(block)
-            part = np.searchsorted(begin, place, "right") - 1
-            first = place - begin[part]
-            for i, a, n, p in zip(part.tolist(), first.tolist(), length.tolist(), phrase.tolist(), strict=True):
-                d, at, _ = parts[i]
-                spans[d].append((at + a, at + a + n))
-                items[d].add((k, p))
+
+    def search(held: list[list[tuple[int, int, list[bytes]]]]) -> None:
+        shards = [(parts, Shard([words for _, _, words in parts])) for parts in held]
+        for block in blocks:
+            for parts, shard in shards:
+                sizes = np.array([len(words) + 1 for _, _, words in parts], np.int64)
+                begin = np.cumsum(sizes) - sizes
+                place, length, phrase = shard.occurrences(block)
+                part = np.searchsorted(begin, place, "right") - 1
+                for i, a, n, p in zip(part.tolist(), (place - begin[part]).tolist(), length.tolist(), phrase.tolist(), strict=True):
+                    d, at, _ = parts[i]
+                    spans[d].append((at + a, at + a + n))
+                    items[d].update(block.items[p])
+
+    held = []
+    for parts in parts_of(docs, size, blocks.window - 1) if blocks.n else ():
+        if any(words for _, _, words in parts):
+            held.append(parts)
+        if len(held) == HELD:
+            search(held)
+            held = []
+    if held:
+        search(held)
     out = []
     for words, own, found in zip(docs, spans, items, strict=True):
         merged: list[list[int]] = []
@@ -283,11 +290,20 @@ def scan(texts: list[str | None], blocks: list[Block], size: int) -> list[tuple[
                 merged[-1][1] = max(b, merged[-1][1])
             else:
                 merged.append([a, b])
-        ids = {(k, place) for k, p in found for place in searched[k].items[p]}
-        out.append((len(words), [tuple(x) for x in merged], [searched[k].ids[place] for k, place in ids]))
+        out.append((len(words), [tuple(x) for x in merged], [item for _, item in found]))
     return out
 
 
+def cleaned(text: str, spans: list[tuple[int, int]], blocks: Benchmark, size: int) -> str | None:
+    """text without spans and whatever windows there are then; None if no word is left."""
+    while spans:
+        text = without(text, spans)
+        ((n, spans, _),) = scan([text], blocks, size)
+        if not n:
+            return None
+    return text
+
+
 def without(text: str, spans: list[tuple[int, int]]) -> str:
     """text without the words of spans and what stands between them."""
     at = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))]
@@ -312,33 +328,47 @@ def shards(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterato
             yield batch.slice(first)
 
 
-def load_blocks(benchmark: DataFrame, window: int = WINDOW) -> list:
-    """The benchmark's items as (digest, broadcast) blocks of bounded size; they pass through the driver block by block."""
-    spark = benchmark.sparkSession
-    sent, block, size = [], [], 0
+def item_parts(window: int):
+    """Batches of place, item_id, text -> the same with items of more than BLOCK_WORDS words cut, and their numbers of words."""
+    step = max(BLOCK_WORDS, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for place, item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words = words_of(text)
+                for a in range(0, max(1, len(words) - window + 1), step) if words else ():
+                    part = words[a : a + step + window - 1]
+                    rows.append((place, item, b" ".join(part).decode("utf-8", "surrogatepass"), len(part)))
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["place", "item", "text", "words"])
+
+    return run
 
-    def send() -> None:
-        packed = pickle.dumps(block)
-        sent.append((hashlib.sha1(packed).hexdigest(), spark.sparkContext.broadcast(packed)))
 
-    for item, text in benchmark.select(F.col("item_id"), F.col("text").cast("string")).toLocalIterator():
-        block.append((item, text))
-        size += len(text or "") // 6 + 1
-        if size >= BLOCK_WORDS:
-            send()
-            block, size = [], 0
-    if block:
-        send()
-    return sent
+class Benchmark:
+    """The blocks of a benchmark in the shared folder; a worker gets them one after the other."""
 
+    def __init__(self, path: str, n: int, window: int):
+        self.path, self.n, self.window = path, n, window
 
-def scanner(sent: list, window: int):
-    """The worker's blocks, made once for each content."""
+    def __iter__(self) -> Iterator[Block]:
+        make = lambda k: Block(read_block(self.path, k, ["place", "item", "text"]), self.window)
+        if self.n == 1:
+            yield worker_cache("fmindex", f"{self.window}:{self.path}", lambda: make(0))
+            return
+        for k in range(self.n):
+            if (block := make(k)).words:
+                yield block
 
-    def block(name: str, content) -> Block:
-        return worker_cache("fmindex", f"{window}:{name}", lambda: Block(pickle.loads(content.value), window))
 
-    return lambda: [block(*x) for x in sent]
+def write_benchmark(benchmark: DataFrame, window: int = WINDOW) -> Benchmark:
+    """The benchmark's items, each row with a number of its own, as blocks in the shared folder."""
+    numbered = materialise(benchmark.select(F.monotonically_increasing_id().alias("place"), F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")), "benchmark")
+    parts = materialise(numbered.mapInArrow(item_parts(window), "place long, item string, text string, words long"), "items")
+    total = parts.agg(F.sum("words")).first()[0] or 0
+    n = buckets(total, BLOCK_WORDS) if total else 0
+    return Benchmark(write_blocks(parts.withColumn("block", F.pmod(F.xxhash64("place", "text"), F.lit(max(1, n)))), "blocks", n), n, window)
 
 
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, n_items long, spans array<struct<start:long,end:long>>"
@@ -346,18 +376,19 @@ HITS = "doc_id long, n_words long, n_hit long, items array<string>, n_items long
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: words, hit words, the items whose windows occur, and merged removal spans (in words)."""
-    blocks = scanner(load_blocks(benchmark, window), window)
+    blocks = write_benchmark(benchmark, window)
+    size = SHARD_WORDS
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches, 1, SHARD_WORDS):
-            found = scan(batch.column(1).to_pylist(), blocks(), SHARD_WORDS)
+        for batch in shards(batches, 1, size * (HELD if blocks.n > 1 else 1)):
+            found = scan(batch.column(1).to_pylist(), blocks, size)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array([n for n, _, _ in found], pa.int64()),
                     pa.array([sum(b - a for a, b in s) for _, s, _ in found], pa.int64()),
-                    pa.array([[str(x) for x in i if x is not None] for _, _, i in found], pa.list_(pa.string())),
+                    pa.array([[x for x in i if x is not None] for _, _, i in found], pa.list_(pa.string())),
                     pa.array([len(i) for _, _, i in found], pa.int64()),
                     pa.array([[{"start": a, "end": b} for a, b in s] for _, s, _ in found], span),
                 ],
@@ -369,26 +400,28 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs, all columns, without the words in removal spans; n_chars follows; documents left without a word go."""
-    blocks = scanner(load_blocks(benchmark, window), window)
-    names, schema = docs.columns, docs.schema
+    """docs, all columns, without the words in removal spans, until no window is left; n_chars follows; documents left without a word go."""
+    blocks = write_benchmark(benchmark, window)
+    size = SHARD_WORDS
+    names = docs.columns
     at = names.index("text")
+    plain = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names with dots aren't for mapInArrow
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in shards(batches, at, SHARD_WORDS):
+        for batch in shards(batches, at, size * (HELD if blocks.n > 1 else 1)):
             texts = batch.column(at).to_pylist()
-            found = scan(texts, blocks(), SHARD_WORDS)
-            gone = [bool(s) and sum(b - a for a, b in s) == n for n, s, _ in found]
-            texts = [without(t, s) if s else t for t, (_, s, _) in zip(texts, found, strict=True)]
+            found = scan(texts, blocks, size)
+            texts = [cleaned(t, s, blocks, size) if s else t for t, (_, s, _) in zip(texts, found, strict=True)]
+            gone = [bool(s) and t is None for t, (_, s, _) in zip(texts, found, strict=True)]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 old = batch.column(k).to_pylist()
-                columns[k] = pa.array([len(t) if s else o for t, (_, s, _), o in zip(texts, found, old, strict=True)], batch.schema.field(k).type)
+                columns[k] = pa.array([len(t or "") if s else o for t, (_, s, _), o in zip(texts, found, old, strict=True)], batch.schema.field(k).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array([not g for g in gone]))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

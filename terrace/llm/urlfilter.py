@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from terrace.llm.common import buckets, materialise, scratch_path, table, worker_cache
+from terrace.llm.common import buckets, materialise, read_block, table, worker_cache, write_blocks
 
 #: (verdict, host, path): the production rules.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -151,30 +151,19 @@ def build_shard(blocks: int):
 
 def load_block(path: str, block: int) -> dict[int, dict[str, Cascade]]:
     """shard -> its cascades, of one block of the table that write_cascades() wrote."""
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, name = fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1) if path.startswith("file:") else f"file://{path}")
-    found = [x for x in system.get_file_info(fs.FileSelector(f"{name}/block={block}", allow_not_found=True)) if x.path.endswith(".parquet")]
-    out = {}
-    for x in found:
-        for shard, packed in zip(*(c.to_pylist() for c in pq.ParquetFile(system.open_input_file(x.path)).read(columns=["shard", "cascades"]).columns), strict=True):
-            out[shard] = {verdict: Cascade([Bloom.of(*level) for level in levels]) for verdict, levels in pickle.loads(packed).items()}
-    return out
+    found = read_block(path, block, ["shard", "cascades"])
+    return {shard: {verdict: Cascade([Bloom.of(*level) for level in levels]) for verdict, levels in pickle.loads(packed).items()} for shard, packed in found}
 
 
 def write_cascades(listed: DataFrame, universe: DataFrame) -> tuple[str, int, int]:
     """listed: key, verdict; universe: key, distinct.  The table's path, and how many shards and blocks it has."""
-    spark = listed.sparkSession
     n = listed.count()
     shards, blocks = buckets(n + universe.count(), SHARD_KEYS), buckets(n, BLOCK_KEYS)
     hashed = lambda df, verdict: df.select(*(h.alias(f"h{i}") for i, h in enumerate(hashes(F.col("key")), 1)), verdict.cast("byte").alias("verdict"))
     rows = hashed(listed, (F.col("verdict") == "block").cast("int")).union(hashed(universe, F.lit(None)))
     rows = rows.select(shard_of(F.col("h2"), shards).alias("shard"), "h1", "h2", "verdict")
-    path = scratch_path(spark, "cascades")
     built = rows.groupBy("shard").applyInArrow(build_shard(blocks), "block long, shard long, cascades binary")
-    built.repartition(blocks, "block").write.partitionBy("block").parquet(path)
-    return path, shards, blocks
+    return write_blocks(built, "cascades", blocks), shards, blocks
 
 
 def shard_of(h2: Column, shards: int) -> Column:
