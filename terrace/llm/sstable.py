@@ -4,24 +4,29 @@ A shard holds the documents of one range of ids, in ascending order, in its own
 
     data blocks | block index | Bloom filter | footer
 
+Shards are ranges of (id, text hash) of about SHARD_BYTES of text or SHARD_DOCS documents, at least as many as
+the session's partitions.  The manifest, a table beside them, has each shard's file, counts, first and last
+id, so a lookup opens one file.
+
 A key is the document id as 8 big-endian bytes with the sign bit flipped, so bytes sort as numbers;
 a null id is the empty key, which sorts first.  An entry is varint(shared), varint(unshared),
 varint(value length), the unshared key bytes and the value; a block's first key shares nothing.  A
 value is the document's ids, little-endian, 2 bytes each where the vocabulary allows it, else 4.
 The index has each block's first key, offset and length; the footer says where index and filter lie,
-and how many documents and ids there are.  A lookup asks the filter, bisects the index and reads one
-block.
+and how many documents and ids there are.  A lookup bisects the manifest, asks the shard's filter, bisects
+its index and reads one block.
 
 Defined results: a null text is an empty one, and an empty one has the end id alone; repeated ids lie
-side by side, ordered by their text's hash, and a lookup gives the first; an empty table gives no
-files; columns other than doc_id and text are not read.
+side by side, ordered by their text's hash (in neighbouring shards, if there are many), and a lookup gives the
+first; an id that isn't there gives a null; an empty table gives no files; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from bisect import bisect_right
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import partitions, scratch_path, table
+from terrace.llm.common import buckets, file_system, partitions, scratch_path, ship, table
 from terrace.llm.wordids import default_path, encoder
 
 MAGIC = b"TRCSST01"
@@ -40,7 +45,10 @@ BLOCK = 1 << 16
 BLOOM_BITS = 10
 HASHES = 7
 END_ID = 1
-MANIFEST = "shard int, path string, n_docs long, n_ids long"
+MANIFEST = "shard int, path string, n_docs long, n_ids long, first long, last long"
+#: Bytes of text and documents in a shard, about.
+SHARD_BYTES = 256 << 20
+SHARD_DOCS = 4 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -71,24 +79,27 @@ def _read_varint(b: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+
+
 def _probes(key: bytes, bits: int) -> list[int]:
-    a = zlib.crc32(key)
-    b = zlib.crc32(key, 0x9E3779B9) | 1
+    a, b = _hashes(key)
     return [(a + i * b) % bits for i in range(HASHES)]
 
 
 class Writer:
-    """Writes entries, given in ascending key order, to an open binary stream; holds one block and the index."""
+    """Writes entries, given in ascending key order, to an open binary stream; holds one block, the index and 8 bytes a key for the filter."""
 
     def __init__(self, out, width: int):
         self.out, self.width, self.at = out, width, 0
         self.block, self.last, self.first = bytearray(), b"", b""
         self.index: list[bytes] = []
-        self.keys: list[bytes] = []
-        self.n_ids = 0
+        self.hashes = array("I")
+        self.n_docs = self.n_ids = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        if self.keys and key < self.keys[-1]:
+        if self.n_docs and key < self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if not self.block:
@@ -99,7 +110,8 @@ class Writer:
         value = ids.astype("<u2" if self.width == 2 else "<u4").tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
         self.last = key
-        self.keys.append(key)
+        self.hashes.extend(_hashes(key))
+        self.n_docs += 1
         self.n_ids += len(ids)
         if len(self.block) >= BLOCK:
             self._close_block()
@@ -114,14 +126,15 @@ class Writer:
     def close(self) -> None:
         self._close_block()
         index = b"".join(self.index)
-        bits = max(64, BLOOM_BITS * len(self.keys) + 7 & ~7)
-        bloom = bytearray(bits // 8)
-        for key in self.keys:
-            for p in _probes(key, bits):
-                bloom[p >> 3] |= 1 << (p & 7)
+        bits = max(64, BLOOM_BITS * self.n_docs + 7 & ~7)
+        bloom = np.zeros(bits // 8, np.uint8)
+        a, b = np.frombuffer(self.hashes, np.uint32).astype(np.uint64).reshape(-1, 2).T
+        for i in range(HASHES):
+            p = (a + np.uint64(i) * b) % np.uint64(bits)
+            np.bitwise_or.at(bloom, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
         self.out.write(index)
-        self.out.write(bytes(bloom))
-        self.out.write(struct.pack(FOOTER, self.at, len(index), self.at + len(index), len(bloom), len(self.keys), self.n_ids, self.width, MAGIC))
+        self.out.write(bloom.tobytes())
+        self.out.write(struct.pack(FOOTER, self.at, len(index), self.at + len(index), len(bloom), self.n_docs, self.n_ids, self.width, MAGIC))
 
 
 class Reader:
@@ -178,12 +191,6 @@ class Reader:
         return None
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else "file:" + uri if uri.startswith("/") else uri.replace("file:/", "file:///", 1))
-
-
 def write_shards(folder: str, vocabulary: str):
     """Each partition's sorted rows -> one file; gives its MANIFEST row.
 
@@ -199,32 +206,41 @@ def write_shards(folder: str, vocabulary: str):
         for batch in batches:
             for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1)), strict=True):
                 if writer is None:
-                    system, name = _file_system(path)
+                    system, name = file_system(path)
                     system.create_dir(name.rpartition("/")[0], recursive=True)
                     stream = system.open_output_stream(name)
-                    writer = Writer(stream, width)
+                    writer, first = Writer(stream, width), doc
                 writer.add(key_of(doc), np.append(ids, end))
         if writer is not None:
             writer.close()
             stream.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "path": [path], "n_docs": [len(writer.keys)], "n_ids": [writer.n_ids]})
+            ids = {"n_docs": writer.n_docs, "n_ids": writer.n_ids, "first": first, "last": id_of(writer.last)}
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "path": [path]} | {k: pa.array([v], pa.int64()) for k, v in ids.items()})
 
     return run
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, shards: int | None = None) -> list:
-    """Writes docs' ids as shards below folder; returns the manifest, a row a shard in ascending key order."""
+def write(docs: DataFrame, folder: str, vocabulary: str, shards: int | None = None) -> None:
+    """Writes docs' ids as shards below folder, and their manifest."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = rows.repartitionByRange(shards or partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return sorted(ordered.mapInArrow(write_shards(folder, vocabulary), MANIFEST).collect())
+    if not shards:
+        size, n = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+        shards = max(partitions(docs.sparkSession), buckets(size or 0, SHARD_BYTES), buckets(n, SHARD_DOCS))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    ordered.mapInArrow(write_shards(folder, vocabulary), MANIFEST).write.parquet(f"{folder}/manifest")
+
 
+def manifest_of(spark: SparkSession, folder: str) -> list:
+    """The manifest's rows, one a shard, in ascending order of ids."""
+    return sorted(spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect(), key=lambda r: r["shard"])
 
-def read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of path, start (ids before the shard) -> doc_id, start, n_tokens, ids_crc32 of all its documents."""
-    for batch in batches:
-        for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            system, name = _file_system(path)
+
+def read_shards(batches: Iterator[list[tuple[str, int]]]) -> Iterator[pa.RecordBatch]:
+    """path and start (ids before the shard) of shards -> doc_id, start, n_tokens, ids_crc32 of all their documents."""
+    for shards in batches:
+        for path, start in shards:
+            system, name = file_system(path)
             with system.open_input_file(name) as stream:
                 rows = []
                 for doc, ids in Reader(stream, system.get_file_info(name).size):
@@ -241,20 +257,52 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, names=names)
 
 
-def read(spark: SparkSession, manifest: list) -> DataFrame:
-    """The documents of a manifest's shards; one row a shard is dealt out, the files are read by the executors."""
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents of the shards below folder, a task a shard; what is sent is a path and a number a shard."""
     at, before = [], 0
-    for row in manifest:
+    for row in manifest_of(spark, folder):
         at.append((row["path"], before))
         before += row["n_ids"]
-    files = spark.createDataFrame(at, "path string, start long")
-    return files.repartition(max(1, len(at)), "path").mapInArrow(read_shards, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    sent = ship(spark, at)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = sent()
+        yield from read_shards([at[i] for i in batch.column(0).to_pylist()] for batch in batches)
+
+    return spark.range(0, len(at), 1, max(1, len(at))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def lookup(ids: DataFrame, folder: str) -> DataFrame:
+    """ids (column doc_id) with tokens, the ids of that document (null if there is none); a shard's file is opened once."""
+    rows = [r for r in manifest_of(ids.sparkSession, folder)]
+    sent = ship(ids.sparkSession, ([key_of(r["last"]) for r in rows], [r["path"] for r in rows]))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lasts, _ = sent()
+        for batch in batches:
+            at = [bisect_left(lasts, key_of(x)) for x in batch.column(0).to_pylist()]  # the first shard that may have it
+            yield batch.append_column("at", pa.array(at, pa.int64()))
+
+    def search(found: pa.Table) -> pa.Table:
+        _, paths = sent()
+        at, docs, tokens = found.column("at")[0].as_py(), found.column("doc_id").to_pylist(), [None] * found.num_rows
+        if at < len(paths):
+            system, name = file_system(paths[at])
+            with system.open_input_file(name) as stream:
+                reader = Reader(stream, system.get_file_info(name).size)
+                tokens = [None if (x := reader.get(d)) is None else x.astype(np.int64) for d in docs]
+        return pa.table({"doc_id": pa.array(docs, pa.int64()), "tokens": pa.array(tokens, pa.list_(pa.int64()))})
+
+    wanted = ids.select(F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(place, "doc_id long, at long")
+    return wanted.groupBy("at", F.pmod(F.xxhash64("doc_id"), F.lit(16))).applyInArrow(search, "doc_id long, tokens array<long>")
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """docs written as shards in the shared folder and read back."""
     spark = docs.sparkSession
-    return read(spark, write(docs, scratch_path(spark, "sst"), vocabulary or default_path()))
+    folder = scratch_path(spark, "sst")
+    write(docs, folder, vocabulary or default_path())
+    return read(spark, folder)
 
 
 def op10_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

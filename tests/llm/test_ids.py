@@ -85,12 +85,12 @@ def test_packing(spark, docs, odd, empty, encode):
 
 
 def test_repeated_rows_are_dealt_out(spark, encode, monkeypatch):
-    monkeypatch.setattr(packing, "GROUP", 64)
-    monkeypatch.setattr(packing, "MOST", 200)
-    rows = [(None, "")] * 3000 + [(7, "the same text")] * 500
+    monkeypatch.setattr(packing, "GROUP", 40)
+    monkeypatch.setattr(packing, "MOST", 90)
+    rows = [(None, "")] * 700 + [(7, "the same text")] * 200
     found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     check_packed(found, rows, encode)
-    assert max(sum(r["sequence_id"] >> 32 == g for r in found) for g in {r["sequence_id"] >> 32 for r in found}) <= 200
+    assert max(sum(r["sequence_id"] >> 32 == g for r in found) for g in {r["sequence_id"] >> 32 for r in found}) <= 90
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -152,6 +152,25 @@ def test_lookup(monkeypatch):
         w.add(sstable.key_of(-(2**63)), np.array([1]))
 
 
+def test_manifest_and_lookup_of_shards(spark, docs, odd, encode, monkeypatch, tmp_path):
+    monkeypatch.setattr(sstable, "SHARD_DOCS", 20)
+    many = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(spark.createDataFrame([(7_777_777, f"copy {i}") for i in range(100)], "doc_id long, text string"))
+    sstable.write(many, f"file://{tmp_path}/s", default_path())
+    rows = sstable.manifest_of(spark, f"file://{tmp_path}/s")
+    assert len(rows) > 10 and max(r["n_docs"] for r in rows) < many.count() / 3
+    keys = [(sstable.key_of(r["first"]), sstable.key_of(r["last"])) for r in rows]
+    assert all(a <= b for a, b in keys) and all(x[1] <= y[0] for x, y in zip(keys, keys[1:], strict=False))
+    assert sum(r["first"] == r["last"] == 7_777_777 for r in rows) > 1  # repeated ids don't meet in one shard
+    texts_of = defaultdict(list)
+    for d, t in pairs(many):
+        texts_of[d].append(ids_of(encode, t))
+    asked = [*texts_of, 987_654_321_987, -3, 10**18]
+    found = {r["doc_id"]: r["tokens"] for r in sstable.lookup(spark.createDataFrame([(d,) for d in asked], "doc_id long"), f"file://{tmp_path}/s").collect()}
+    assert set(found) == set(asked)
+    for d, tokens in found.items():
+        assert tokens in texts_of[d] if d in texts_of else tokens is None
+
+
 def test_repeated_keys_across_blocks(monkeypatch):
     monkeypatch.setattr(sstable, "BLOCK", 16)
     out = io.BytesIO()
