@@ -12,10 +12,13 @@ of the bound by less than the radius, it also goes right as a query; a query goe
 in exactly the shard that is the home of its right-hand member, or of both.  In a shard the same rule recurses
 down to small leaves, where distances are taken.  A shard gives the edges of a spanning forest of its
 links, at most one a row, never all pairs.  Connected components of these edges come from alternating
-large-star and small-star rounds, written to the shared folder, until nothing changes.
+large-star and small-star rounds, written to the shared folder, until nothing changes.  The graph's
+nodes are fingerprints, so what the ids are doesn't matter to it.
 
-Defined results: a null text is an empty one; a row with a null doc_id has its fingerprint and the
-component of its copies (null if none of them has an id); repeated rows are copies; an empty table gives no rows; columns other than doc_id and text are not read.
+Defined results: a null text is an empty one; a row with a null doc_id links like any other (its
+component_id is the least id there, null if there is none); repeated rows are copies, and rows that share
+an id but not a text are rows of their own; an empty table gives no rows; columns other than doc_id and
+text are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm.common import buckets, materialise, partitions, table, worker_cache
+from terrace.llm.common import buckets, materialise, partitions, release, table, worker_cache
 
 SEED = 42
 SHINGLE = 3
@@ -39,6 +42,8 @@ SAMPLE = 200_000
 SHARD = (2_000, 1_000_000)
 #: Below this many fingerprints distances are taken directly.
 LEAF = 192
+#: Nodes with more than this share of all edges, and more than so many, are hubs: 2 * HUBS at most.
+HUBS, HUB_EDGES = 1000, 64
 
 
 def fingerprint(text: str | None) -> int:
@@ -219,46 +224,55 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("leaf").applyInArrow(shard_links(radius), "u long, v long")
 
 
+def with_least(edges: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m, the least v of u's edges; total: how many edges there are.
+
+    A join on u would bring all edges of a hub to one task.  Hubs are the nodes with more than a
+    HUBS-th of all edges, so there are fewer than HUBS of them: these few rows are broadcast and their
+    edges stay where they are; the others are dealt by u, none with more than that share.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    bar = max(HUB_EDGES, total // HUBS)
+    hubs = F.broadcast(least.where(F.col("n") > bar).select("u", "m"))
+    others = least.where(F.col("n") <= bar).select("u", "m")
+    return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(others, "u"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per node of the edges (u, v): its component's smallest node; by large-star and small-star rounds.
 
-    A node's neighbours are joined to their least by an equi-join, whose hot keys Spark can split; the
-    minimum itself is a partial aggregate.  Each round is a table in the shared folder.
+    Each round is a table in the shared folder; it goes when the next one is written.
     """
-    least = lambda e: e.groupBy("u").agg(F.min("v").alias("m"))
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
+    total, seen = edges.count(), None
+    if not total:
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = least(both).withColumn("m", F.least("u", "m"))
-        large = both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(least(large), "u")  # v < u here
-        edges = materialise(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        near = with_least(both, 2 * total).select("u", "v", F.least("u", "m").alias("m"))
+        large = materialise(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small = with_least(large, total)  # v < u here; no more of them than edges
+        new = materialise(small.select("u", F.col("m").alias("v")).union(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        release(large)
+        release(edges)
+        edges = new
+        total, *state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if [total, *state] == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = state
+        seen = [total, *state]
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     fps = materialise(fingerprints(docs), "fingerprints")
-    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    roots = components(links(distinct.where("node is not null"), radius))
-    named = distinct.join(roots, "node", "left").select(F.col("fp").alias("fp_"), F.coalesce("root", "node").alias("component_id"))
+    distinct = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    roots = components(links(distinct.select("fp", F.col("fp").alias("node")), radius))
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(F.coalesce("root", "fp").alias("u"), F.col("least").alias("v"), F.col("fp").alias("fp_"))
+    rooted = materialise(rooted, "rooted")
+    named = with_least(rooted, rooted.count()).select("fp_", F.col("m").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("fp_"), "left").select("doc_id", "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs, all columns: of each component the row of its smallest doc_id; rows without an id stay.
-
-    Rows that repeat that id are copies too; one of them stays.
-    """
-    found = classes(docs, radius).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("kept_")).where("kept_ is not null").distinct()
-    kept = docs.join(found, docs["doc_id"] == found["kept_"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where(docs["doc_id"].isNull()))
-
-
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
