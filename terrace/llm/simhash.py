@@ -143,24 +143,32 @@ def route(points: np.ndarray, nodes: list[tuple], radius: int) -> tuple[np.ndarr
 
 
 class Forest:
-    """Union-find; keeps the links that joined two sets."""
+    """Union-find over arrays of links; keeps the links that joined two sets.
+
+    A dense group has very many links, so links within a set are dropped together, and each round hooks
+    every set that is left onto a smaller one that it has a link to.
+    """
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-        self.edges: list[tuple[int, int]] = []
+        self.up = np.arange(n)
+        self.edges: list[np.ndarray] = []
 
-    def find(self, x: int) -> int:
+    def find(self, x: np.ndarray) -> np.ndarray:
         up = self.up
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
+        root = up[x]
+        while ((next_ := up[root]) != root).any():
+            root = next_
+        up[x] = root
+        return root
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = self.find(x), self.find(y)
-            if p != q:
-                self.up[max(p, q)] = min(p, q)
-                self.edges.append((x, y))
+        while len(a):
+            p, q = self.find(a), self.find(b)
+            apart = p != q
+            a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+            high, first = np.unique(np.maximum(p, q), return_index=True)
+            self.up[high] = np.minimum(p, q)[first]
+            self.edges.append(np.stack([a[first], b[first]], axis=1))
 
 
 def join(points: np.ndarray, home: np.ndarray, query: np.ndarray, radius: int, forest: Forest) -> None:
@@ -195,7 +203,7 @@ def shard_links(radius: int):
         node, query = rows.column("node").to_numpy(), rows.column("query").to_numpy().astype(bool)
         forest = Forest(len(points))
         join(points, np.flatnonzero(~query), np.flatnonzero(query), radius, forest)
-        e = node[np.array(forest.edges, np.int64).reshape(-1, 2)]
+        e = node[np.concatenate([np.zeros((0, 2), np.int64), *forest.edges])]
         return pa.table({"u": e.min(axis=1), "v": e.max(axis=1)})
 
     return run

@@ -95,7 +95,7 @@ def test_shards_find_every_pair(seed):
     for n in np.unique(leaf):
         own = leaf == n
         simhash.join(points, at[own & ~query], at[own & query], 2, forest)
-    got = [forest.find(i) for i in range(len(points))]
+    got = forest.find(np.arange(len(points))).tolist()
     assert got == plain_components(points)
 
 
