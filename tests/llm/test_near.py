@@ -44,7 +44,7 @@ def made(seed):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize(("star", "frequent"), [(24, 3), (2, 3), (24, 10**9)])
+@pytest.mark.parametrize(("star", "frequent"), [(24, 3), (2, 10**9)])
 def test_equals_all_pairs(spark, monkeypatch, star, frequent):
     monkeypatch.setattr(near, "STAR", star)
     monkeypatch.setattr(near, "FREQUENT", frequent)
