@@ -46,9 +46,9 @@ def signup_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @BOOK.add("""
-SELECT vec_id, label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 5) t(i)""")
-def first_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x")).select("vec_id", "label", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
+SELECT vec_id, label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) t(i)""")
+def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).select("vec_id", "label", F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"))
 
 
 @BOOK.add("""

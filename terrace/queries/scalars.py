@@ -79,7 +79,8 @@ def number_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.add("""
 SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS length,
-       round(list_max(embedding)::DOUBLE, 6) AS most, true AS itself FROM embeddings""")
+       round(list_max(embedding)::DOUBLE, 6) AS most,
+       round(list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda z: CAST(z[1] AS DOUBLE) * CAST(z[2] AS DOUBLE))) / list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))), 6) AS turned FROM embeddings""")
 def vector_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(e), 6).alias("length"), F.round(F.array_max(e).cast("double"), 6).alias("most"), (F.abs(cosine(e, e) - 1) < 1e-9).alias("itself"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm(e), 6).alias("length"), F.round(F.array_max(e).cast("double"), 6).alias("most"), F.round(cosine(e, F.reverse(e)), 6).alias("turned"))

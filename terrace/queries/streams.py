@@ -44,3 +44,14 @@ def stream_click_to_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = events.running_totals(events.read_stream(spark, sf_dir, "events.parquet").select("user_id", "value"), "user_id", "value")
     return events.run(rows, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total")).withColumn("total", F.round("total", 4))
+
+
+@BOOK.add("""
+WITH marked AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+numbered AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM marked),
+whole AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM numbered GROUP BY user_id, s)
+SELECT * FROM whole WHERE session_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append mode: the sessions that the watermark has closed."""
+    rows = events.run(events.sessions(events.read_stream(spark, sf_dir, "events.parquet"), "ts", "30 minutes", ["user_id"], "10 minutes"), "append")
+    return rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from terrace.sources.files import scratch
+
 
 def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: int = 1) -> DataFrame:
     """The Parquet files called name below folder as a stream; an NTZ time becomes one that watermarks take."""
@@ -20,12 +21,19 @@ def read_stream(spark: SparkSession, folder: str, name: str, files_per_batch: in
 
 
 def run(stream: DataFrame, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Everything the source has, in as many batches as it takes; the result as a table of the session."""
-    name = f"stream_{uuid.uuid4().hex}"
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+    """Everything the source has, in as many batches as it takes; the result as Parquet in the shared folder.
+
+    Each batch writes its own folder, anew if it is repeated; complete mode overwrites the one before.
+    """
+    path = scratch(stream.sparkSession, "stream")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True)
+    query = writer.option("checkpointLocation", checkpoint or scratch(stream.sparkSession, "progress")).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
 
 
 def tumbling(rows: DataFrame, at: str, size: str, keys: list[str], late: str, value: str) -> DataFrame:
@@ -38,6 +46,12 @@ def sliding(rows: DataFrame, at: str, size: str, step: str, late: str, value: st
     return windows.agg(F.count("*").alias("n"), F.round(F.max(value), 4).alias("most")).select(F.col("w.start").alias("window_start"), "n", "most")
 
 
+def sessions(rows: DataFrame, at: str, gap: str, keys: list[str], late: str) -> DataFrame:
+    """Sessions that a pause of gap ends; in append mode each comes once, when the watermark has passed its end."""
+    windows = rows.withWatermark(at, late).groupBy(F.session_window(at, gap).alias("w"), *keys)
+    return windows.agg(F.count("*").alias("n")).select(*keys, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
 def unique(rows: DataFrame, at: str, keys: list[str], late: str) -> DataFrame:
     """Rows whose keys weren't seen within the watermark; state is dropped behind it."""
     return rows.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
