@@ -120,7 +120,9 @@ def with_next(docs: DataFrame, enrich: Callable[[DataFrame], DataFrame], columns
     dealt = enrich(keyed.withColumn("b", bucket_of(firsts))).select("b", "id", "th", "doc_id", *columns)
     w = Window.partitionBy("b").orderBy("id", "th")
     numbered = dealt.withColumns({"first": F.lag(F.lit(1)).over(w).isNull(), "last": F.lead(F.lit(1)).over(w).isNull()} | {f"next_{c}": F.lead(c).over(w) for c in columns})
-    patch = numbered.where("first").select(F.pmod(F.col("b") - 1, F.lit(len(firsts) + 1)).alias("from"), *(F.col(c).alias(f"first_{c}") for c in columns))
+    # a null doc_id has id low, so the condition always holds: with it both sides read the same columns, and Spark deals the rows once
+    before = F.when(F.col("doc_id").isNotNull() | (F.col("id") == low), F.pmod(F.col("b") - 1, F.lit(len(firsts) + 1)))
+    patch = numbered.where("first").select(before.alias("from"), *(F.col(c).alias(f"first_{c}") for c in columns))
     joined = numbered.join(patch, (F.col("b") == F.col("from")) & F.col("last"), "left")
     found = {f"next_{c}": F.when(F.col("last"), F.col(f"first_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
     return joined.withColumns(found).select("doc_id", *columns, *found)
