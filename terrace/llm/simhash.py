@@ -10,9 +10,9 @@ at a node with vantage point v and bound m a fingerprint goes left if d(v, x) <=
 of the bound by less than the radius, it also goes right as a query; a query goes to both sides where
 |d(v, x) - m| lets the triangle inequality put a neighbour there.  So each pair within the radius meets
 in exactly the shard that is the home of its right-hand member, or of both.  In a shard the same rule recurses
-down to small leaves, where distances are taken.  A shard gives the edges of a spanning forest of its
-links, at most one a row, never all pairs.  Connected components of these edges come from alternating
-large-star and small-star rounds, written to the shared folder, until nothing changes.  The graph's
+down to small leaves, where distances are taken.  A shard links the rows of each of its components to the
+least of them: one edge a row, never all pairs.  Connected components of these edges come from alternating
+large-star and small-star rounds, written to the shared folder, until all are stars around their least node.  The graph's
 nodes are fingerprints, so what the ids are doesn't matter to it.
 
 Defined results: a null text is an empty one; a row with a null doc_id links like any other (its
@@ -143,7 +143,7 @@ def route(points: np.ndarray, nodes: list[tuple], radius: int) -> tuple[np.ndarr
 
 
 class Forest:
-    """Union-find over arrays of links; keeps the links that joined two sets.
+    """Union-find over arrays of links.
 
     A dense group has very many links, so links within a set are dropped together, and each round hooks
     every set that is left onto a smaller one that it has a link to.
@@ -151,7 +151,6 @@ class Forest:
 
     def __init__(self, n: int):
         self.up = np.arange(n)
-        self.edges: list[np.ndarray] = []
 
     def find(self, x: np.ndarray) -> np.ndarray:
         up = self.up
@@ -168,7 +167,6 @@ class Forest:
             a, b, p, q = a[apart], b[apart], p[apart], q[apart]
             high, first = np.unique(np.maximum(p, q), return_index=True)
             self.up[high] = np.minimum(p, q)[first]
-            self.edges.append(np.stack([a[first], b[first]], axis=1))
 
 
 def join(points: np.ndarray, home: np.ndarray, query: np.ndarray, radius: int, forest: Forest) -> None:
@@ -203,8 +201,11 @@ def shard_links(radius: int):
         node, query = rows.column("node").to_numpy(), rows.column("query").to_numpy().astype(bool)
         forest = Forest(len(points))
         join(points, np.flatnonzero(~query), np.flatnonzero(query), radius, forest)
-        e = node[np.concatenate([np.zeros((0, 2), np.int64), *forest.edges])]
-        return pa.table({"u": e.min(axis=1), "v": e.max(axis=1)})
+        root = forest.find(np.arange(len(points)))
+        least = np.full(len(points), np.iinfo(np.int64).max)
+        np.minimum.at(least, root, node)
+        centre = least[root]
+        return pa.table({"u": centre[centre < node], "v": node[centre < node]})
 
     return run
 
@@ -246,16 +247,22 @@ def with_least(edges: DataFrame, total: int) -> DataFrame:
     return edges.join(hubs, "u").unionByName(edges.join(hubs, "u", "left_anti").join(others, "u"))
 
 
+def state(edges: DataFrame) -> tuple[int, bool]:
+    """How many edges (u, v < u) there are, and whether all components are stars around their least node."""
+    ends = edges.select(F.inline(F.array(*(F.struct(F.col(x).alias("x"), F.lit(up).alias("up")) for x, up in (("u", 1), ("v", 0))))))
+    nodes = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.count("*").alias("n"))
+    total, bent = nodes.agg(F.sum("ups"), F.max((F.col("ups") > 0) & (F.col("n") > 1))).first()
+    return total or 0, not bent
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Per node of the edges (u, v): its component's smallest node; by large-star and small-star rounds.
 
     Each round is a table in the shared folder; it goes when the next one is written.
     """
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    total, seen = edges.count(), None
-    if not total:
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    while True:
+    total, done = state(edges)
+    while not done:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = with_least(both, 2 * total).select("u", "v", F.least("u", "m").alias("m"))
         large = materialise(near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
@@ -264,10 +271,8 @@ def components(edges: DataFrame) -> DataFrame:
         release(large)
         release(edges)
         edges = new
-        total, *state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if [total, *state] == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = [total, *state]
+        total, done = state(edges)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def classes(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
