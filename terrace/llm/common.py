@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import math
 import pickle
 import re
@@ -13,6 +15,7 @@ import types
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import SparkContext, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,11 +130,16 @@ def read_block(path: str, block: int, columns: list[str]) -> list[tuple]:
 def worker_cache(operator: str, name: str, make):
     """make() once per Python worker, kept from task to task while the worker runs the same operator.
 
-    A worker serves many stages: what it keeps for one goes when it turns to another.
+    A worker serves many stages: what it keeps for one goes when it turns to another, and the memory that
+    this leaves free goes back to the system, as the worker's next stage may need it elsewhere.
     """
     held = sys.modules.setdefault("_terrace_worker", types.ModuleType("_terrace_worker"))
     if getattr(held, "operator", None) != operator:
         held.operator, held.kept = operator, {}
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such function
+            ctypes.CDLL(None).malloc_trim(0)
     if name not in held.kept:
         held.kept[name] = make()
     return held.kept[name]
