@@ -13,10 +13,20 @@ from terrace.llm.common import materialise, table
 
 #: A document stays if its language is at least this likely: of a few letters none can be sure, and they are no fault.
 SURE = 0.3
+#: Rows that go to a Python worker at once: texts may be long, and executors hold several such batches.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Sets the session's batches to BATCH_ROWS where they are larger (0: unbounded); results don't depend on it."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has no letter, or is of no learned language, go; all stay where no language can be learned."""
+    bounded(spark)
     model = language.fit(language.training_part(docs))
     if not model.languages:
         return docs
@@ -26,11 +36,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of texts alike by 0.8 in 5-word shingles stays: SimHash links, and the pairs beyond its radius."""
+    bounded(spark)
     return near.first_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words of benchmark windows are cut out of the texts."""
+    bounded(spark)
     return fmindex.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces and their places in sequences."""
+    bounded(spark)
     return packing.pack(docs)
 
 
